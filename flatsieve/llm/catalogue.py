@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language_id, sharding
+from . import language_id, sharding, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_toxicity": toxicity.op2_toxicity,
         "op4_language_id": language_id.op4_language_id,
         "op6_sharding": sharding.op6_sharding,
     }

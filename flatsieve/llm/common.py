@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python operator works on at a time; a longer text makes a step of its own.
@@ -111,3 +112,33 @@ def unsigned32(x) -> int:
 def held_out(remainder: int, modulus: int, key: str = "doc_id"):
     """True where crc32 of the key as text leaves ``remainder``."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % modulus == remainder
+
+
+def prefix_sums(df: DataFrame, order: list[str], size: str, scratch: Scratch, name: str) -> DataFrame:
+    """``df`` with ``start`` (sum of ``size`` over the rows before it in ``order``), ``index`` (their number) and ``total``.
+
+    Range partitions add up their own rows in a stream; the partitions' totals, a row for each
+    partition, give the offsets. ``df`` should be a written table of a few narrow columns, as the
+    range partitioning samples it first. Reads ``df`` twice and writes it once.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def placed(batches):
+        import numpy as np
+        from pyspark import TaskContext
+
+        part, at, n = TaskContext.get().partitionId(), 0, 0
+        for b in batches:
+            sizes = b.column(b.schema.get_field_index(size)).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(sizes)
+            cols = [*b.columns, pa.array(np.full(len(sizes), part, np.int32)), pa.array(at + ends - sizes), pa.array(np.arange(n, n + len(sizes), dtype=np.int64))]
+            at, n = at + (int(ends[-1]) if len(sizes) else 0), n + len(sizes)
+            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "_part", "_before", "_rows"])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema)
+    held = scratch.write(dealt.mapInArrow(placed, f"{kinds}_part int, _before long, _rows long"), name)
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each partition
+    totals = held.groupBy("_part").agg(F.sum(size).alias("b"), F.count("*").alias("n"))
+    offsets = totals.select("_part", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("_b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n"), F.sum("b").over(W.partitionBy()).alias("total"))
+    at = held.join(F.broadcast(offsets), "_part")
+    return at.select(*df.columns, (F.col("_b") + F.col("_before")).alias("start"), (F.col("_n") + F.col("_rows")).alias("index"), "total")

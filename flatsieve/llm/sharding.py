@@ -14,31 +14,15 @@ empty result; repeated rows are placed one by one; other columns are ignored.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import Scratch, documents, prefix_sums
 
 #: Bytes that each row takes besides its text.
 OVERHEAD = 16
 
 
-def _placed(batches):
-    """Adds the partition and the sums of the rows before each row in it."""
-    import numpy as np
-    from pyspark import TaskContext
-
-    part, at, n = TaskContext.get().partitionId(), 0, 0
-    for b in batches:
-        size = b.column("size").to_numpy(zero_copy_only=False)
-        ends = np.cumsum(size)
-        cols = [*b.columns, pa.array(np.full(len(size), part, np.int32)), pa.array(at + ends - size), pa.array(np.arange(n, n + len(size)))]
-        at, n = at + int(ends[-1]) if len(size) else at, n + len(size)
-        yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "part", "bytes_before", "rows_before"])
-
-
 def shard_by_bytes(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text", slack: float = 0.02, scratch: Scratch | None = None) -> DataFrame:
     """Rows (key, size, text_crc32, shard, slot): shards 0 to ``shards`` - 1 are contiguous in the order of (text hash, key).
 
@@ -47,15 +31,7 @@ def shard_by_bytes(df: DataFrame, shards: int, key: str = "doc_id", text: str =
     scratch = scratch or Scratch(df.sparkSession, "shards")
     body = F.coalesce(F.col(text), F.lit(""))
     rows = scratch.write(df.select(F.col(key), (F.octet_length(body) + OVERHEAD).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("text_hash")), "sizes")
-    dealt = rows.repartitionByRange("text_hash", key).sortWithinPartitions("text_hash", key)
-    schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, size long, text_crc32 long, text_hash long, part int, bytes_before long, rows_before long"
-    placed = scratch.write(dealt.mapInArrow(_placed, schema), "placed")
-
-    ordered = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row for each partition
-    totals = placed.groupBy("part").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
-    offsets = totals.select("part", F.coalesce(F.sum("b").over(ordered), F.lit(0)).alias("b0"), F.coalesce(F.sum("n").over(ordered), F.lit(0)).alias("n0"), F.sum("b").over(W.partitionBy()).alias("total"))
-    at = placed.join(F.broadcast(offsets), "part").withColumns({"start": F.col("b0") + F.col("bytes_before"), "index": F.col("n0") + F.col("rows_before")})
-
+    at = prefix_sums(rows, ["text_hash", key], "size", scratch, "placed")
     runs = at.groupBy("text_hash").agg(F.count("*").alias("copies"), F.sum("size").alias("run_bytes"), F.min("start").alias("run_start")).where("copies > 1")
     at = at.join(runs, "text_hash", "left")
     whole = F.col("run_bytes") <= F.col("total") / shards * slack
