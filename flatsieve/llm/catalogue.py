@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, sharding, toxicity
+from . import fingerprints, language_id, packing, sharding, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op2_toxicity": toxicity.op2_toxicity,
         "op4_language_id": language_id.op4_language_id,
         "op6_sharding": sharding.op6_sharding,
+        "op8_packing": packing.op8_packing,
+        "op9_fingerprints": fingerprints.op9_fingerprints,
     }
 
 

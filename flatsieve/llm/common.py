@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,7 +77,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
         col = b.column(b.schema.get_field_index(text))
         sizes = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
         total, start = 0, 0
-        lengths = pa.compute.fill_null(pa.compute.binary_length(sizes), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(sizes), 0).to_numpy(zero_copy_only=False)
         for i, n in enumerate(lengths.tolist()):
             total += n
             if total >= limit:
@@ -90,7 +91,6 @@ def map_steps(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema:
     """``mapInArrow`` whose per-task function ``make()`` turns columns (name to list) of a bounded step into columns."""
 
     def run(batches):
-        import pyarrow.compute  # noqa: F401
 
         f = make()
         for b in steps(batches, text, limit):
