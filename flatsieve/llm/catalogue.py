@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language_id, packing, sharding, toxicity
+from . import fingerprints, language_id, packing, sharding, toxicity, vector_search
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_toxicity": toxicity.op2_toxicity,
         "op4_language_id": language_id.op4_language_id,
         "op6_sharding": sharding.op6_sharding,
+        "op7_nearest_neighbours": vector_search.op7_nearest_neighbours,
         "op8_packing": packing.op8_packing,
         "op9_fingerprints": fingerprints.op9_fingerprints,
     }
