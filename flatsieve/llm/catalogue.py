@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language_id, packing, sharding, toxicity, vector_search
+from . import fingerprints, language_id, packing, pii, sharding, toxicity, vector_search
 
 
 def queries() -> dict:
     return {
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_pii": pii.op3_pii,
         "op4_language_id": language_id.op4_language_id,
         "op6_sharding": sharding.op6_sharding,
         "op7_nearest_neighbours": vector_search.op7_nearest_neighbours,
