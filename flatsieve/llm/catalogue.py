@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language_id, packing, pii, sharding, toxicity, vector_search
+from . import fingerprints, language_id, packing, pii, sharding, simhash, toxicity, vector_search
 
 
 def queries() -> dict:
     return {
+        "op1_simhash": simhash.op1_simhash,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_pii": pii.op3_pii,
         "op4_language_id": language_id.op4_language_id,
