@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language_id, packing, pii, sharding, simhash, toxicity, vector_search
+from . import fingerprints, language_id, line_dedup, packing, pii, sharding, simhash, toxicity, vector_search
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_pii": pii.op3_pii,
         "op4_language_id": language_id.op4_language_id,
+        "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_sharding": sharding.op6_sharding,
         "op7_nearest_neighbours": vector_search.op7_nearest_neighbours,
         "op8_packing": packing.op8_packing,
