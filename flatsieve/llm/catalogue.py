@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language_id, line_dedup, packing, pii, sharding, simhash, toxicity, vector_search
+from . import fingerprints, language_id, line_dedup, packing, pii, segmentation, sharding, simhash, toxicity, vector_search
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_nearest_neighbours": vector_search.op7_nearest_neighbours,
         "op8_packing": packing.op8_packing,
         "op9_fingerprints": fingerprints.op9_fingerprints,
+        "op10_segmentation": segmentation.op10_segmentation,
     }
 
 

@@ -24,6 +24,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -83,12 +84,18 @@ class Ids:
         return b"".join([known[u] for u in units])
 
 
+@lru_cache(maxsize=2)
+def loaded(path: str) -> Ids:
+    """One for each worker process, whose table its tasks share."""
+    return Ids(path)
+
+
 def tokenized(df: DataFrame, tokenizer: str, key: str, text: str, source: str, scratch: Scratch) -> tuple[DataFrame, str]:
     """A written table (row, key, source, n, ids) and the ids' numpy type; ``row`` numbers the rows, whatever their keys."""
-    kind = Ids(tokenizer).kind
+    kind = loaded(tokenizer).kind
 
     def run(batches):
-        ids, end = Ids(tokenizer), np.array([END_ID], kind).tobytes()
+        ids, end = loaded(tokenizer), np.array([END_ID], kind).tobytes()
         width = len(end)
         for b in steps(batches, text):
             packed = [ids.pack(t or "") + end for t in b.column(b.schema.get_field_index(text)).to_pylist()]
