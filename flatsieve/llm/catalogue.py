@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import fingerprints, language_id, line_dedup, packing, pii, segmentation, sharding, simhash, toxicity, vector_search
 
 
@@ -16,9 +18,11 @@ def queries() -> dict:
         "op7_nearest_neighbours": vector_search.op7_nearest_neighbours,
         "op8_packing": packing.op8_packing,
         "op9_fingerprints": fingerprints.op9_fingerprints,
+        "pipeline": corpus_pipeline.run,
         "op10_segmentation": segmentation.op10_segmentation,
     }
 
 
 def oracle_sql() -> dict[str, str]:
+    """None of these can be written in the oracle's SQL; tests hold them against brute force."""
     return {}

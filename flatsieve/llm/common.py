@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,6 +38,21 @@ def _remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for a context, so that their Python finds it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(ship, "to", None) is sc:
+        return
+    ship.to = sc
+    top = Path(__file__).resolve().parents[1]
+    if not top.is_dir():  # already imported from an archive
+        return
+    with tempfile.NamedTemporaryFile(prefix=f"{top.name}-", suffix=".zip", delete=False) as f, zipfile.ZipFile(f, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(f.name)
+
+
 class Scratch:
     """Tables written to the shared scratch folder, so that a lost executor loses none of them.
 
@@ -44,6 +61,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark, self.path = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self._close)
 
@@ -100,13 +118,25 @@ def map_steps(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema:
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
+    ship(df.sparkSession)
     parsed = StructType.fromDDL(schema)
     names, types = parsed.names, [to_arrow_type(x.dataType) for x in parsed.fields]
     return df.mapInArrow(run, parsed)
 
 
-def unsigned32(x) -> int:
-    return x & 0xFFFFFFFF
+#: Narrow rows up to which a join may broadcast them; beyond, it shuffles both sides.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a written table of narrow rows, with the hint to broadcast it if it is within BROADCAST_ROWS."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def without(df: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``df`` less the rows whose (key, xxhash64 of text) is in ``rows`` (key, whole), a written table; all columns stay as they are."""
+    rows = rows.withColumnsRenamed({key: "__fs_key", "whole": "__fs_whole"})
+    return df.join(small(rows), df[key].eqNullSafe(rows["__fs_key"]) & (F.xxhash64(df[text]) == rows["__fs_whole"]), "left_anti")
 
 
 def held_out(remainder: int, modulus: int, key: str = "doc_id"):

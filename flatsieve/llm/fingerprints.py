@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, steps
+from .common import documents, map_steps, ship, steps
 
 BINS = 256
 BITS = 8
@@ -43,16 +43,24 @@ def _turns(n: int, tries: int) -> np.ndarray:
 _TURNS: dict[int, np.ndarray] = {}
 
 
-def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
-    h = np.array([xxhash.xxh64_intdigest(w, 7) for w in text.lower().encode("utf-8", "replace").split()] or [0], np.uint64)
+def word_hashes(text: str) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w, 7) for w in text.lower().encode("utf-8", "replace").split()] or [0], np.uint64)
+
+
+def shingles_of(h: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of runs of ``words`` words, or of all words where they are fewer."""
     n = min(words, len(h))
-    out = np.full(len(h) - n + 1, len(h) if len(h) < words else words, np.uint64)
+    out = np.full(len(h) - n + 1, n, np.uint64)
     for i in range(n):
         out = (out ^ h[i : len(h) - n + 1 + i]) * _MULTIPLIERS[i % len(_MULTIPLIERS)]
         out ^= out >> np.uint64(29)
     return _mixed(out)
 
 
+def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
+    return shingles_of(word_hashes(text), words)
+
+
 def fingerprint(text: str, bins: int = BINS, bits: int = BITS, words: int = WORDS) -> bytes:
     """``bins`` x ``bits`` packed bits; ``bins`` is a power of two."""
     h = np.sort(shingle_hashes(text, words))
@@ -89,8 +97,6 @@ def likeness(a: bytes, b: bytes, bits: int = BITS) -> float:
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, fingerprint): packed bytes, for texts as they stand."""
-    from .common import map_steps
-
     def make():
         return lambda c: c | {"fingerprint": [fingerprint(t or "") for t in c[text]]}
 
@@ -104,6 +110,7 @@ def with_next(df: DataFrame, key: str, text: str, parts: int) -> DataFrame:
     range ends with the first row of all. The ranges start at quantiles of the key, which are keys
     that occur; texts are shuffled once. A null key sorts first.
     """
+    ship(df.sparkSession)
     low = -(1 << 63)
     rows = df.select(F.coalesce(F.col(key), F.lit(low)).alias("_key"), key, F.coalesce(F.col(text), F.lit("")).alias(text))
     ends = df.agg(F.min(F.coalesce(F.col(key), F.lit(low))), F.percentile_approx(F.col(key), [i / parts for i in range(1, parts)] or [0.5], 10 * max(1000, parts)).alias("q")).first()

@@ -241,11 +241,11 @@ def pseudonymize(df: DataFrame, text: str = "text", key: str = "change-this-key"
     body = F.col(f"`{text}`")
     made = F.transform(F.regexp_extract_all(body, F.lit(PATTERN), 0), lambda m: replaced(m, key))
     # most texts have no candidate, and only those that have are cut and put together again
-    held = df.withColumn("_made", F.when(body.rlike(PATTERN), made))
+    held = df.withColumn("__fs_made", F.when(body.rlike(PATTERN), made))
     between = F.split(body, PATTERN, -1)
-    joined = F.array_join(F.zip_with(between, F.col("_made"), lambda a, b: F.concat(a, F.coalesce(b["text"], F.lit("")))), "")
-    out = held.withColumn(text, F.when(F.col("_made").isNotNull(), joined).otherwise(body))
-    return (out.withColumn(found, F.filter(F.col("_made"), lambda x: x["kind"].isNotNull())) if found else out).drop("_made")
+    joined = F.array_join(F.zip_with(between, F.col("__fs_made"), lambda a, b: F.concat(a, F.coalesce(b["text"], F.lit("")))), "")
+    out = held.withColumn(text, F.when(F.col("__fs_made").isNotNull(), joined).otherwise(body))
+    return (out.withColumn(found, F.filter(F.col("__fs_made"), lambda x: x["kind"].isNotNull())) if found else out).drop("__fs_made")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

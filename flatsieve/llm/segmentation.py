@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, steps
+from .common import documents, ship, steps
 
 SPACE = "▁"
 N_BEST = 3
@@ -239,6 +239,7 @@ def segment(df: DataFrame, model_file: str, n: int = N_BEST, key: str = "doc_id"
     names = ["key", "rank", "score", "n_pieces", "ids_crc32", "decoded_crc32", "ids"][: 6 + with_ids]
     kinds = [to_arrow_type(df.schema[key].dataType), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
     kind = df.schema[key].dataType.simpleString()
+    ship(df.sparkSession)
     made = df.select(key, text).mapInArrow(run, f"key {kind}, rank int, score double, n_pieces long, ids_crc32 long, decoded_crc32 long" + ", ids array<int>" * with_ids)
     return made.withColumnRenamed("key", key)
 
@@ -252,6 +253,7 @@ def decode(df: DataFrame, model_file: str, key: str = "doc_id", ids: str = "ids"
             texts = [None if x is None else lattice.decode(np.array(x, lattice.kind).tobytes()) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["key", "text"])
 
+    ship(df.sparkSession)
     return df.select(key, ids).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, text string").withColumnRenamed("key", key)
 
 

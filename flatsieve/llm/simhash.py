@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, map_steps
+from . import fingerprints as shingling
+from .common import Scratch, documents, map_steps, without
 from .components import components
 
 BITS = 64
@@ -58,7 +59,7 @@ def signed_bits(h: np.ndarray, words64: int = 1) -> np.ndarray:
             x ^= x >> np.uint64(32)
         counts = np.zeros(64, np.int64)
         for at in range(0, len(x), 1 << 14):  # bounds the bits of a very long text
-            counts += np.unpackbits(x[at : at + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+            counts += np.unpackbits(x[at : at + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.uint16)
         out.append(counts * 2 > len(x))
     return np.concatenate(out)
 
@@ -99,6 +100,85 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     return prints.join(of, "f").select(key, "f", "component")
 
 
+#: Of near_copies: similarity, segments and their bits (of two-word shingles), 64-bit words that verify (five-word shingles), and nodes of a bucket that are compared in pairs.
+SIMILARITY = 0.8
+NEAR_SEGMENTS, NEAR_BITS = 10, 28
+CHECK_WORDS = 8
+NEAR_PAIRED = 8
+
+
+def sketch(text: str) -> tuple[list[int], list[int]]:
+    """Segments for the index, as ints, and signed longs of the fingerprint that verifies."""
+    h = shingling.word_hashes(text)
+    index = signed_bits(shingling.shingles_of(h, 2), -(-NEAR_SEGMENTS * NEAR_BITS // 64))[: NEAR_SEGMENTS * NEAR_BITS].reshape(NEAR_SEGMENTS, NEAR_BITS)
+    check = np.packbits(signed_bits(shingling.shingles_of(h, 5), CHECK_WORDS)).view(">i8")
+    return (index @ (1 << np.arange(NEAR_BITS))).tolist(), check.tolist()
+
+
+def allowed_bits(similarity: float, bits: int) -> int:
+    """Bits by which fingerprints of texts of that Jaccard similarity differ, and one standard deviation."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + np.sqrt(bits * p * (1 - p)))
+
+
+def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """Rows (key, whole, component) of all rows: ``whole`` is the text's hash, ``component`` the least hash of its group.
+
+    Texts are linked at an estimated Jaccard similarity of SIMILARITY of five-word shingles. That leaves
+    up to a seventh of a fingerprint's bits different, for which segments that always meet would be too
+    short to tell texts apart. Instead, the indexed fingerprint is of two-word shingles, which an
+    edit touches less, in ten segments of 28 bits: at similarity 0.8 a segment differs by at most one
+    bit with probability 0.24, so 94 % of such pairs meet, and 99.7 % at 0.9. Pairs that meet
+    are verified by 512 bits of five-word shingles.
+
+    Buckets of up to NEAR_PAIRED nodes are compared in pairs. In fuller ones, which only large groups
+    make, each node is compared with the least one and with three neighbours in an order that differs from
+    bucket to bucket; a node is in up to 280 buckets, so groups come together with work in proportion.
+    """
+    scratch = scratch or Scratch(df.sparkSession, "near")
+
+    def make():
+        def step(c: dict) -> dict:
+            made = [sketch(t or "") for t in c[text]]
+            return c | {"segments": [m[0] for m in made], "check": [m[1] for m in made]}
+
+        return step
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(key, F.xxhash64(text).alias("whole"), text)
+    held = scratch.write(map_steps(rows, make, f"`{key}` {kind}, whole long, segments array<int>, check array<long>", text), "sketches")
+    nodes = scratch.write(held.groupBy("whole").agg(F.first("segments").alias("segments"), F.first("check").alias("check")), "nodes")
+    each = "flatten(transform(segments, (s, i) -> transform(sequence(0, 27), b -> shiftleft(i * 32L + b, 28) | (s & ~shiftleft(1, b)))))"
+    rows = nodes.select("whole", F.explode(F.expr(each)).alias("bucket"))
+    rows = scratch.write(rows.withColumn("n", F.count("*").over(W.partitionBy("bucket"))).where("n > 1"), "buckets")
+    few = rows.where(F.col("n") <= NEAR_PAIRED).select("bucket", "whole")
+    pairs = few.alias("x").join(few.alias("y"), "bucket").where("x.whole < y.whole").select(F.col("x.whole").alias("a"), F.col("y.whole").alias("b"))
+    order = W.partitionBy("bucket").orderBy(F.xxhash64("bucket", "whole"))
+    ahead = F.array(*(F.lag("whole", i).over(order) for i in (1, 2, 3)), F.min("whole").over(W.partitionBy("bucket")))
+    crowd = rows.where(F.col("n") > NEAR_PAIRED).select("whole", ahead.alias("others")).select("whole", F.explode("others").alias("other")).where("whole <> other")
+    pairs = scratch.write(pairs.unionAll(crowd.select(F.least("whole", "other").alias("a"), F.greatest("whole", "other").alias("b"))).distinct(), "pairs")
+    side = lambda n: nodes.select(F.col("whole").alias(n), F.col("check").alias(f"check_{n}"))
+    far = F.aggregate(F.zip_with("check_a", "check_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    linked = pairs.join(side("a"), "a").join(side("b"), "b").where(far <= allowed_bits(SIMILARITY, 64 * CHECK_WORDS)).select("a", "b")
+    of = components(linked, scratch)
+    named = scratch.write(of.withColumnRenamed("node", "whole"), "groups")
+    return held.select(key, "whole").join(named, "whole", "left").select(key, "whole", F.coalesce("component", "whole").alias("component"))
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df``, with all its columns, less all rows of each group of near copies but the one with the least key.
+
+    Rows that repeat key and text are one document, of which one row stays.
+    """
+    scratch = Scratch(df.sparkSession, "near")
+    rows = scratch.write(near_copies(df, key, text, scratch), "rows")
+    kept = rows.groupBy("component").agg(F.min(F.struct(key, "whole")).alias("kept"), F.count("*").alias("n")).where("n > 1")
+    gone = rows.join(kept, "component").where(~F.struct(F.col(key), "whole").eqNullSafe(F.col("kept"))).select(key, "whole").distinct()
+    out = without(df, scratch.write(gone, "gone"), key, text)
+    repeats = rows.groupBy(key, "whole").count().where("count > 1")
+    return out.dropDuplicates([key, text]) if repeats.head(1) else out
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and group."""
     out = groups(documents(spark, sf_dir))
