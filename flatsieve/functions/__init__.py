@@ -1 +1 @@
-
+"""Column expressions: the number rule and predicates."""

@@ -1 +1 @@
-
+"""Relations and what can be asked of them."""

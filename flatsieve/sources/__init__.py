@@ -1 +1 @@
-
+"""Readers of flat files and tables."""
