@@ -36,7 +36,7 @@ from .common import documents
 ROUNDS = 8
 #: Times that a number is permuted at most before it stays as it is; the least dense format (dates) is missed with probability below 1e-30.
 WALKS = 256
-_EDGE, _END = r"(?<![\w.+@-])", r"(?![\w@-])"
+_EDGE, _END = r"(?<![\w.+@-])", r"(?![\w@-]|\.\d)"
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
