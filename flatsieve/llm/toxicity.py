@@ -24,10 +24,9 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, map_steps
+from .common import Scratch, documents, held_out, map_steps, without
 
 N_BUCKETS = 1 << 17
 DIM = 4
@@ -75,7 +74,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
 
 
-def fit(rows: list[tuple[str, int]], prior: float, epochs: int = 60) -> Model:
+def fit(rows: list[tuple[str, int]], prior: float, epochs: int = 40) -> Model:
     """Fit on (text, 0 or 1) rows; ``prior`` is the share of 1 among all labelled rows, which the sample of each class hides."""
     labels = np.array([y for _, y in rows], np.float32)
     if not len(rows) or labels.min() == labels.max():
@@ -91,8 +90,8 @@ def fit(rows: list[tuple[str, int]], prior: float, epochs: int = 60) -> Model:
     in_docs = np.zeros(N_BUCKETS, np.int32)
     for d in docs:
         in_docs[list({g for w in set(d) for g in bags[w]})] += 1
-    used, gram = np.unique(np.where(in_docs[gram] >= MIN_DOCS, gram, N_BUCKETS), return_inverse=True)  # the last stands for all rare ones, whose value stays 0
-    lengths = np.bincount(of).astype(np.float32)
+    used, gram = np.unique(np.where(in_docs[gram] >= MIN_DOCS, gram, N_BUCKETS), return_inverse=True)  # the last stands for all rare ones, and for those not seen at all
+    n_words, lengths = len(bags), np.bincount(of).astype(np.float32)
     del bags, docs
 
     rng = np.random.default_rng(5)
@@ -100,7 +99,7 @@ def fit(rows: list[tuple[str, int]], prior: float, epochs: int = 60) -> Model:
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in (e, w, b)]
     mean = lambda values, groups, n: np.stack([np.bincount(groups, values[:, k], n) for k in range(values.shape[1])], 1).astype(np.float32)
     for t in range(1, epochs + 1):
-        words = mean(e[gram], of, len(lengths)) / lengths[:, None]
+        words = mean(e[gram], of, n_words) / lengths[:, None]
         bag = mean(words[tokens], segment_of, len(sizes)) / sizes[:, None]
         z = SCALE * bag @ w + b
         odds = np.exp(np.clip(z[:, 1] - z[:, 0], -60, 60))
@@ -108,26 +107,36 @@ def fit(rows: list[tuple[str, int]], prior: float, epochs: int = 60) -> Model:
         g = ((total / (1 + total) - labels) / len(labels))[owner] * odds / np.maximum(total, 1e-30)[owner]
         g = np.stack([-g, g], 1).astype(np.float32)
         gbag = SCALE * g @ w.T / sizes[:, None]
-        gwords = mean(gbag[segment_of], tokens, len(lengths)) / lengths[:, None]
-        for x, grad, (m, v), rate in zip((e, w, b), (mean(gwords[of], gram, len(used)) + 0 * e, SCALE * bag.T @ g, g.sum(0)), state, (RATE, 0.02, 0.1)):
+        gwords = mean(gbag[segment_of], tokens, n_words) / lengths[:, None]
+        for x, grad, (m, v), rate in zip((e, w, b), (mean(gwords[of], gram, len(used)), SCALE * bag.T @ g, g.sum(0)), state, (RATE, 0.02, 0.1)):
             m += 0.1 * (grad - m)
             v += 0.01 * ((grad**2).max() - v)  # of the largest: steps follow how much a bucket tells, so rare ones stay small
             x -= rate * math.sqrt(1 - 0.99**t) / (1 - 0.9**t) * m / (np.sqrt(v) + 1e-9)
         e *= 1 - DECAY
-        e[used == N_BUCKETS] = 0
-    value = np.zeros(N_BUCKETS + 1, np.float32)
-    value[used] = SCALE * e @ (w[:, 1] - w[:, 0])
+    told = SCALE * e @ (w[:, 1] - w[:, 0])
+    value = np.full(N_BUCKETS + 1, told[-1] if used[-1] == N_BUCKETS else 0, np.float32)
+    value[used] = told
     value = value[:-1]
     share = float(labels.mean())
     return Model(value, float(b[1] - b[0]) + math.log(prior / (1 - prior)) - math.log(share / (1 - share)))
 
 
-def training_rows(df: DataFrame, text: str, label: str, key: str, rows: int = FIT_ROWS) -> tuple[list[tuple[str, int]], float]:
-    """At most ``rows`` (text, label) of each class, those whose key has the smallest hash, and the share of label 1 in ``df``."""
-    known = df.where(F.col(label).isin(0, 1)).select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key).cast("string")).alias("h"))
+def training_rows(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", rows: int = FIT_ROWS) -> tuple[list[tuple[str, int]], float]:
+    """At most ``rows`` (text, label) of each class, those whose key has the smallest hash, and the share of label 1 in ``labels``.
+
+    Keys are chosen on the narrow label rows; only the texts of the chosen ones, at most 2 x ``rows``,
+    are fetched.
+    """
+    known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key).cast("string")).alias("h"))
     share = known.agg(F.avg("y")).first()[0]
-    few = known.withColumn("r", F.row_number().over(W.partitionBy("y").orderBy("h", "t"))).where(F.col("r") <= rows)
-    return sorted((x["t"], x["y"]) for x in few.select("t", "y").collect()), share or 0.0
+    few = known.where("y = 0").orderBy("h", "k").limit(rows).unionAll(known.where("y = 1").orderBy("h", "k").limit(rows))
+    chosen = {r["k"]: r["y"] for r in few.collect() if r["k"] is not None}
+    if not chosen:
+        return [], share or 0.0
+    kind = df.schema[key].dataType.simpleString()
+    wanted = df.sparkSession.createDataFrame([(k,) for k in chosen], f"k {kind}")
+    texts = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(wanted), "k", "left_semi")
+    return sorted((r["t"], chosen[r["k"]]) for r in texts.collect())[: 4 * rows], share or 0.0
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", passed: tuple[str, ...] = ()) -> DataFrame:
@@ -151,24 +160,17 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
     return map_steps(df.select(key, *passed, text), make, f"{kinds}score double, predicted int", text)
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that have a label, outside the held-out fifth."""
-    return docs.where(~held_out(0, 5)).join(labels.select("doc_id", "toxic"), "doc_id")
-
-
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learned from the labels that are not held out."""
     docs = documents(spark, sf_dir)
-    model = fit(*training_rows(labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), "text", "toxic", "doc_id"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(0, 5))
+    model = fit(*training_rows(docs, labels))
     return score(docs.withColumn("held_out", held_out(0, 5)), model, passed=("held_out",))
 
 
-def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the model, fitted on ``labels`` of rows outside the held-out fifth, rejects.
-
-    Scores and rows are one pass over the texts: the score travels with the row.
-    """
-    model = fit(*training_rows(labelled(docs, labels), "text", "toxic", "doc_id"))
-    passed = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    kept = score(docs.withColumn("_text", F.col("text")), model, passed=(*passed, "_text")).where("predicted = 0")
-    return kept.select(*(F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs``, with all its columns, less the rows that the model rejects; it is fitted on ``labels`` of rows outside the held-out fifth."""
+    model = fit(*training_rows(docs, labels.where(~held_out(0, 5)), text, key=key))
+    rows = docs.select(key, text, F.xxhash64(text).alias("whole"))
+    bad = score(rows, model, key, text, ("whole",)).where("predicted = 1").select(key, "whole").distinct()
+    return without(docs, Scratch(docs.sparkSession, "toxicity").write(bad, "rejected"), key, text)
