@@ -144,11 +144,16 @@ def test_lines_full_buckets(docs, monkeypatch):
 
 
 def test_line_fingerprints():
-    lines = [words(i, 1 + i).encode().split() for i in range(20)]
-    got = line_dedup.simhashes(lines)
-    for line, f in zip(lines, got):
-        h = [xxhash.xxh64_intdigest(w, 3) for w in line]
-        assert int(f) & (1 << 64) - 1 == sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+    lines = [words(i, 1 + 40 * i) for i in range(20)]
+    got = line_dedup.Lines(["\n".join(lines[:7]), "", "\n\n" + "\n".join(lines[7:])])
+    assert got.text.tolist() == [0] * 7 + [2] * 13 and got.at.tolist() == [*range(7), *range(2, 15)]
+    one = lambda w: int(line_dedup.Lines([w]).sim[0]) & (1 << 64) - 1
+    known = {w: one(w) for line in lines for w in line.split()}
+    for k, line in enumerate(lines):
+        h = [known[w] for w in line.split()]
+        assert int(got.sim[k]) & (1 << 64) - 1 == sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+        assert got.n[k] == len(line) and b" ".join(got.words(k)).decode() == line
+    assert len(set(got.h.tolist())) == 20 and len(set(known.values())) == len(known)
 
 
 @pytest.mark.parametrize(("a", "b", "near"), [("abcdefghij", "abcdefghxx", True), ("abcdefghij", "abcdefgxxx", False), ("w " * 600 + "a", "w " * 600 + "b", True)])
@@ -160,4 +165,6 @@ def test_edit_similarity(spark, a, b, near):
 
 
 def test_normalised():
-    assert line_dedup.normalised("  Héllo, WORLD -- 12/34!  \n\n\tÉ.") == [["héllo".encode(), b"world", b"00", b"00"], [], ["é".encode()]]
+    x = line_dedup.Lines(["  Héllo, WORLD -- 12/34!  \n\n\tÉ."])
+    assert [x.words(i) for i in range(2)] == [["héllo".encode(), b"world", b"00", b"00"], ["é".encode()]] and x.at.tolist() == [0, 2]
+    assert line_dedup.Lines([]).h.tolist() == line_dedup.Lines(["", " \n."]).h.tolist() == []
