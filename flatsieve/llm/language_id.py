@@ -113,12 +113,19 @@ def fit(rows: list[tuple[str, str]], epochs: int = 80) -> Model | None:
 
 
 def training_rows(df: DataFrame, text: str, lang: str, key: str, rows: int = FIT_ROWS) -> list[tuple[str, str]]:
-    """At most ``rows`` texts of each language, those whose key has the smallest hash (the bound on what the driver holds)."""
+    """At most ``rows`` texts of each language, those whose key has the smallest hash (the bound on what the driver holds).
+
+    Keys are ranked as narrow rows; only the texts of the chosen ones are fetched.
+    """
     from pyspark.sql import Window as W
 
-    near = df.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(key).cast("string")).alias("h"))
-    few = near.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h", "t"))).where(F.col("r") <= rows)
-    return sorted((x["t"], x["l"]) for x in few.select("t", "l").collect())
+    near = df.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.xxhash64(F.col(key).cast("string")).alias("h"))
+    few = near.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h", "k"))).where(F.col("r") <= rows).select("k").distinct().collect()
+    if not few:
+        return []
+    wanted = df.sparkSession.createDataFrame([(r["k"],) for r in few], f"k {df.schema[key].dataType.simpleString()}")
+    found = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).join(F.broadcast(wanted), "k", "left_semi")
+    return sorted((x["t"], x["l"]) for x in found.select("t", "l").collect())
 
 
 def predict(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", passed: tuple[str, ...] = ()) -> DataFrame:
