@@ -230,7 +230,7 @@ def segment(df: DataFrame, model_file: str, n: int = N_BEST, key: str = "doc_id"
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for rank, (score, packed) in enumerate(lattice.segment(t or "", n), 1):
                     decoded = zlib.crc32(lattice.decode(packed).encode("utf-8", "replace")) if rank == 1 else None
-                    out.append((k, rank, score, len(packed) // width, zlib.crc32(np.frombuffer(packed, lattice.kind).astype("<u4").tobytes()), decoded, np.frombuffer(packed, lattice.kind).tolist() if with_ids else None))
+                    out.append((k, rank, score, len(packed) // width, zlib.crc32(np.frombuffer(packed, lattice.kind).astype("<u4").tobytes()), decoded, np.frombuffer(packed, lattice.kind).tolist())[: 6 + with_ids])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 

@@ -134,3 +134,5 @@ def test_segments_of_tables(edges, none):
     back = segmentation.decode(out.where("rank = 2"), file)
     assert all(r["text"] == texts[r["doc_id"]] for r in back.collect())
     assert segmentation.segment(none, file).count() == 0
+    bare = segmentation.segment(edges, file)
+    assert sorted(map(tuple, bare.collect()), key=repr) == sorted((tuple(r)[:6] for r in rows), key=repr)
