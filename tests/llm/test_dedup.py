@@ -168,3 +168,9 @@ def test_normalised():
     x = line_dedup.Lines(["  Héllo, WORLD -- 12/34!  \n\n\tÉ."])
     assert [x.words(i) for i in range(2)] == [["héllo".encode(), b"world", b"00", b"00"], ["é".encode()]] and x.at.tolist() == [0, 2]
     assert line_dedup.Lines([]).h.tolist() == line_dedup.Lines(["", " \n."]).h.tolist() == []
+
+
+def test_lines_straddle_80_bytes(docs):
+    a = words(21, 40)[:80].strip().ljust(80, "e")
+    df = docs([(1, a), (2, a + "x"), (3, (b := words(22, 60)[:200].strip())), (4, b[:20] + "q" + b[20:60] + "q" + b[60:100] + "q" + b[100:])])
+    assert {r["doc_id"] for r in line_dedup.dedup_lines(df).where("text <> ''").collect()} == {1, 3}
