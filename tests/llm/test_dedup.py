@@ -174,3 +174,37 @@ def test_lines_straddle_80_bytes(docs):
     a = words(21, 40)[:80].strip().ljust(80, "e")
     df = docs([(1, a), (2, a + "x"), (3, (b := words(22, 60)[:200].strip())), (4, b[:20] + "q" + b[20:60] + "q" + b[60:100] + "q" + b[100:])])
     assert {r["doc_id"] for r in line_dedup.dedup_lines(df).where("text <> ''").collect()} == {1, 3}
+
+
+def edited(r, line, edits):
+    y = list(line)
+    for _ in range(edits):
+        at = r.randrange(len(y))
+        r.choice([lambda: y.__setitem__(at, "q"), lambda: y.insert(at, "q"), lambda: y.pop(at)])()
+    return "".join(y)
+
+
+@pytest.mark.parametrize(("low", "high", "share", "least"), [(5, 15, 0.2, 1.0), (16, 31, 0.2, 0.95), (32, 63, 0.2, 0.9), (64, 127, 0.2, 0.85), (128, 400, 0.2, 0.75), (16, 400, 0.1, 0.97), (20, 400, 0.0, 1.0)])
+def test_line_recall(docs, low, high, share, least):
+    """Planted edits: letters anywhere, up to ``share`` of the line (0: one letter)."""
+    r, rows = random.Random(low), []
+    for k in range(120):
+        line = "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(low, high)))
+        rows += [(2 * k, line), (2 * k + 1, edited(r, line, max(1, int(share * (len(line) - 1)))))]
+    left = line_dedup.dedup_lines(docs(rows)).where("text <> ''").count()
+    near = [1 for k in range(120) if distance(rows[2 * k][1], rows[2 * k + 1][1]) <= 0.2 * max(len(rows[2 * k][1]), len(rows[2 * k + 1][1])) + 1e-9]
+    assert len(near) > 100 and 240 - left >= least * len(near)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_lines_without_spaces(docs):
+    a = "".join(chr(0x4E00 + 7 * i) for i in range(40))
+    assert line_dedup.dedup_lines(docs([(1, a), (2, a[:20] + "漢" + a[21:])])).where("text <> ''").count() == 1
