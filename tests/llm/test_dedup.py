@@ -208,3 +208,14 @@ def distance(a, b):
 def test_lines_without_spaces(docs):
     a = "".join(chr(0x4E00 + 7 * i) for i in range(40))
     assert line_dedup.dedup_lines(docs([(1, a), (2, a[:20] + "漢" + a[21:])])).where("text <> ''").count() == 1
+
+
+def test_lines_full_buckets_lose_none(docs, monkeypatch):
+    """Template lines that aren't alike, with copies among them: far neighbours are compared too."""
+    r, rows = random.Random(5), []
+    for k in range(40):
+        line = "the common passage of all" + "".join(r.choice("abcdefghijklmnop") for _ in range(60))
+        rows += [(k, line), (100 + k, edited(r, line, 8))]
+    want = line_dedup.dedup_lines(docs(rows)).where("text <> ''").count()
+    monkeypatch.setattr(line_dedup, "PAIRED", 2)
+    assert line_dedup.dedup_lines(docs(rows)).where("text <> ''").count() == want == 40
