@@ -132,8 +132,9 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", scratch:
     are verified by 512 bits of five-word shingles.
 
     Buckets of up to NEAR_PAIRED nodes are compared in pairs. In fuller ones, which only large groups
-    make, each node is compared with the least one and with three neighbours in an order that differs from
-    bucket to bucket; a node is in up to 280 buckets, so groups come together with work in proportion.
+    make, each node is first compared with the least one and with three neighbours in an order that differs from
+    bucket to bucket; a node is in up to 280 buckets, so groups come together. Then all pairs of full buckets
+    that aren't in one group yet are compared, so that only pairs are left out that can't change a group.
     """
     scratch = scratch or Scratch(df.sparkSession, "near")
 
@@ -159,8 +160,17 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", scratch:
     pairs = scratch.write(pairs.unionAll(crowd.select(F.least("whole", "other").alias("a"), F.greatest("whole", "other").alias("b"))).distinct(), "pairs")
     side = lambda n: nodes.select(F.col("whole").alias(n), F.col("check").alias(f"check_{n}"))
     far = F.aggregate(F.zip_with("check_a", "check_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    linked = pairs.join(side("a"), "a").join(side("b"), "b").where(far <= allowed_bits(SIMILARITY, 64 * CHECK_WORDS)).select("a", "b")
+    alike = lambda p: p.join(side("a"), "a").join(side("b"), "b").where(far <= allowed_bits(SIMILARITY, 64 * CHECK_WORDS)).select("a", "b")
+    linked = scratch.write(alike(pairs), "linked")
     of = components(linked, scratch)
+    full = rows.where(F.col("n") > NEAR_PAIRED)
+    if full.head(1):
+        apart = full.join(of.withColumnsRenamed({"node": "whole", "component": "c"}), "whole", "left").withColumn("c", F.coalesce("c", "whole"))
+        by = W.partitionBy("bucket")
+        apart = apart.withColumn("more", F.min("c").over(by) != F.max("c").over(by)).where("more").select("bucket", "whole", "c")
+        others = apart.alias("x").join(apart.alias("y"), "bucket").where("x.whole < y.whole AND x.c <> y.c").select(F.col("x.whole").alias("a"), F.col("y.whole").alias("b"))
+        others = scratch.write(others.distinct().join(pairs, ["a", "b"], "left_anti"), "others")
+        of = components(linked.unionAll(alike(others)), scratch)
     named = scratch.write(of.withColumnRenamed("node", "whole"), "groups")
     return held.select(key, "whole").join(named, "whole", "left").select(key, "whole", F.coalesce("component", "whole").alias("component"))
 

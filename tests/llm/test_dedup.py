@@ -219,3 +219,15 @@ def test_lines_full_buckets_lose_none(docs, monkeypatch):
     want = line_dedup.dedup_lines(docs(rows)).where("text <> ''").count()
     monkeypatch.setattr(line_dedup, "PAIRED", 2)
     assert line_dedup.dedup_lines(docs(rows)).where("text <> ''").count() == want == 40
+
+
+def test_near_copies_in_a_family(docs):
+    """Texts alike at about 0.6 fill their buckets; planted copies among them are all found."""
+    shared, rows, r = words(40, 150).split(), [], random.Random(4)
+    for k in range(150):
+        own = shared + words(7000 + k, 50).split()
+        copy = list(own)
+        copy[150 + r.randrange(48)] = "changed"
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(copy))]
+    out = {x["doc_id"]: x["component"] for x in simhash.near_copies(docs(rows)).collect()}
+    assert sum(out[2 * k] == out[2 * k + 1] for k in range(150)) == 150
