@@ -43,10 +43,11 @@ KINDS = {
     "date": r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}",
     "ip": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}",
     "ssn": r"\d{3}-\d{2}-\d{4}",
-    "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]?\d{4}|(?:\+1[ .-]?)?\d{3}[ .-]\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}",
-    "card": r"\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]?\d{6}[ -]?\d{5}",
+    "phone": r"(?:\+\d{1,3}[ .-]?|1[ .-]?)?\(\d{3}\) ?\d{3}[ .-]?\d{4}|(?:\+1[ .-]?|1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}|\+\d(?:[ .-]?\d){6,14}",
+    "card": r"\d{4}(?:[ -]?\d{4}){3}[ -]\d{1,3}(?![ .-]\d)|\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]?\d{6}[ -]?\d{5}",
 }
-PATTERN = _EDGE + "(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")" + _END
+#: A date is followed by its time in a timestamp.
+PATTERN = _EDGE + "(?:(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")" + _END + r"|\d{4}-\d{2}-\d{2}(?=T\d))"
 
 
 def _digits(c: Column) -> Column:
@@ -124,7 +125,7 @@ def is_phone(m: Column) -> Column:
 
 
 def _national(m: Column) -> Column:
-    return m.rlike(r"^(?:\+1[ .-]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}$")
+    return m.rlike(r"^(?:\+?1[ .-]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}$")
 
 
 def phone(m: Column, key: str) -> Column:
@@ -213,6 +214,8 @@ def email(m: Column, key: str) -> Column:
     return F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.length(local)), lambda i: one(F.substring(local, i, F.lit(1)), i)), ""), F.lit("@"), F.substring_index(m, "@", -1))
 
 
+_FOLLOWED = r"^(\d{4}(?:[ -]?\d{4}){3})([ -]\d{1,3})$"
+
 _RULES = {
     "email": (lambda m: F.lit(True), email),
     "iban": (is_iban, iban),
@@ -230,6 +233,10 @@ def replaced(m: Column, key: str) -> Column:
     for kind, (ok, make) in reversed(_RULES.items()):
         fits = m.rlike(f"^(?:{KINDS[kind]})$") & F.coalesce(ok(m), F.lit(False))
         out = F.when(fits, F.struct(F.lit(kind).alias("kind"), make(m, key).alias("text"))).otherwise(out)
+        if kind == "card":  # four groups are the card, and a number follows
+            first, rest = F.regexp_extract(m, _FOLLOWED, 1), F.regexp_extract(m, _FOLLOWED, 2)
+            parts = F.when(m.rlike(_FOLLOWED) & ~is_card(m) & is_card(first), F.struct(F.lit(kind).alias("kind"), F.concat(card(first, key), rest).alias("text")))
+            out = F.coalesce(parts, out)
     return out
 
 

@@ -186,3 +186,14 @@ def test_pii_edges(edges, none, docs):
 def test_pii_runs_no_python(edges):
     plan = pii.pseudonymize(edges)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_pii_layouts(spark):
+    whole = "453957876362148627"
+    whole += next(c for c in "0123456789" if luhn(whole + c))
+    grouped = " ".join([whole[:4], whole[4:8], whole[8:12], whole[12:16], whole[16:]])
+    texts = ["+33 1 23 45 67 89", "+33 6 12 34 56 78", "+61 2 9374 4000", "1-555-123-4567", "+44 20 7946 0958 2024", "at 2024-05-03T12:00:00Z", "not 2024-05-03Tea", grouped, "4465 7583 8288 9437 123"]
+    out = made(spark, texts)
+    assert [k for _, k in out] == [["phone"]] * 5 + [["date"], [], ["card"], ["card"]]
+    assert all((a == b) == (b == texts[6]) for (a, _), b in zip(out, texts))
+    assert out[5][0].endswith("T12:00:00Z") and out[4][0].endswith(" 2024") and luhn(out[7][0].replace(" ", "")) and out[8][0].endswith(" 123") and luhn(out[8][0][:19].replace(" ", ""))
