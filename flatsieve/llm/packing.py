@@ -47,19 +47,24 @@ class Ids:
     No token of such a vocabulary's split pattern reaches from a character over white space to the next
     word, so a text's ids are those of its stretches of white space and a word, in order. Words
     recur, so most stretches come from a bounded table; the others go to the library's encoder.
+    With ``added``, the file's added tokens are cut out of texts first and have their own ids, as by
+    the tokenizer library's defaults.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
+        self.added = {x["content"]: x["id"] for x in file.get("added_tokens", [])} if added else {}
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         stand_ins = self._stand_ins()
         self.ranks = {bytes(stand_ins[c] for c in piece): i for piece, i in model["vocab"].items() if all(c in stand_ins for c in piece) and not (piece.startswith("<|") and piece.endswith("|>"))}
         import public_tokenizers
 
         self.encoder = tiktoken.Encoding("from-file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
-        self.kind = "<u2" if max(self.ranks.values()) < 1 << 16 else "<u4"
+        self.kind = "<u2" if max(*self.ranks.values(), *self.added.values()) < 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
 
     @staticmethod
@@ -70,6 +75,11 @@ class Ids:
         return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
     def pack(self, text: str) -> bytes:
+        if self.added and self.cuts.search(text):
+            return b"".join(np.array([self.added[t]], self.kind).tobytes() if t in self.added else self._plain(t) for t in self.cuts.split(text))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         known, units = self.known, _UNIT.findall(text)
         try:
             return b"".join([known[u] for u in units])
@@ -87,7 +97,7 @@ class Ids:
 @lru_cache(maxsize=2)
 def loaded(path: str) -> Ids:
     """One for each worker process, whose table its tasks share."""
-    return Ids(path)
+    return Ids(path, added=True)
 
 
 def tokenized(df: DataFrame, tokenizer: str, key: str, text: str, source: str, scratch: Scratch) -> tuple[DataFrame, str]:

@@ -136,3 +136,10 @@ def test_segments_of_tables(edges, none):
     assert segmentation.segment(none, file).count() == 0
     bare = segmentation.segment(edges, file)
     assert sorted(map(tuple, bare.collect()), key=repr) == sorted((tuple(r)[:6] for r in rows), key=repr)
+
+
+def test_added_tokens_as_by_default():
+    t, ids = Tokenizer.from_file(packing.vocabulary()), packing.loaded(packing.vocabulary())
+    for text in [*TEXTS, "a<|endoftext|>b", "a <|endoftext|> \n b<|endoftext|><|endoftext|>"]:
+        assert np.frombuffer(ids.pack(text), ids.kind).tolist() == t.encode(text, add_special_tokens=False).ids, text
+    assert 50256 in np.frombuffer(ids.pack("a<|endoftext|>b"), ids.kind)
