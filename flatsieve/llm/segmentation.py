@@ -14,8 +14,13 @@ Characters without a piece, and a literal U+2581, become byte pieces, so decodin
 exactly. Scores are the model's log probabilities; where the model's scores are merge ranks (BPE
 files), a piece of rank r counts as log 1/(r + 1), up to a constant (Zipf's law).
 
+``encode`` gives the ids of the library itself, with the model's own merges and normalisation; ``decode``
+takes either's ids.
+
 Defined cases: null counts as empty; an empty text has one segmentation, of no pieces, with score 0;
-ties go to the segmentation with the longer last piece, then smaller ids; a text with fewer than N
+ties (scores within 1e-9): in a unit the longer last piece comes first, then the longer one before it, and so on; in a
+text of several units the segmentations stand in the order of their changes from the best, listed from the
+left as (number of the unit, rank among its alternatives); a text with fewer than N
 segmentations has them all; repeated rows get equal answers; other columns are ignored.
 """
 
@@ -28,6 +33,7 @@ import zlib
 from array import array
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,18 +42,51 @@ from .common import documents, ship, steps
 
 SPACE = "▁"
 N_BEST = 3
-#: Units in each of the two generations that a worker keeps.
-CACHE_UNITS = 250_000
+#: Bytes, about, of each of the two generations of units that a worker keeps, and what an entry takes besides its unit's characters.
+CACHE_BYTES, ENTRY_BYTES = 200_000_000, 400
 _UNIT = re.compile(r" *[^ ]+| +")
 
 
+class _Path:
+    """Pieces from a position to the end; of two, the one whose last pieces are longer comes first.
+
+    ``jump`` leads to an earlier node, as far as a node's depth alone decides, so that two long
+    paths are compared in a logarithm of their lengths.
+    """
+
+    __slots__ = ("depth", "ids", "jump", "rest", "start")
+
+    def __init__(self, start: int, ids: tuple, rest: _Path | None):
+        self.start, self.ids, self.rest = start, ids, rest
+        self.depth, self.jump = 0, self
+        if rest is not None:
+            far = rest.jump
+            self.depth = rest.depth + 1
+            self.jump = far.jump if rest.depth - far.depth == far.depth - far.jump.depth else rest
+
+    def up_to(self, depth: int) -> _Path:
+        p = self
+        while p.depth > depth:
+            p = p.jump if p.jump.depth >= depth else p.rest
+        return p
+
+    def __lt__(self, other: _Path) -> bool:
+        depth = min(self.depth, other.depth)
+        a, b = self.up_to(depth), other.up_to(depth)
+        if a is b:
+            return self.depth < other.depth
+        while a.rest is not b.rest:
+            a, b = (a.jump, b.jump) if a.jump is not b.jump else (a.rest, b.rest)
+        return a.start < b.start
+
+
 class Lattice:
     """Segmentation under one SentencePiece model file."""
 
     def __init__(self, model_file: str):
         from sentencepiece import SentencePieceProcessor
 
-        sp = SentencePieceProcessor(model_file=model_file)
+        sp = self.processor = SentencePieceProcessor(model_file=model_file)
         size = sp.vocab_size()
         names = [sp.id_to_piece(i) for i in range(size)]
         raw = [sp.get_score(i) for i in range(size)]
@@ -56,12 +95,10 @@ class Lattice:
         score = (lambda s: -math.log(1 - s)) if ranks else (lambda s: s)
         self.pieces = {names[i].replace(SPACE, " "): (i, score(raw[i])) for i in plain if raw[i] > -1e8 or not ranks}
         self.longest = max(map(len, self.pieces))
-        self.trie: dict = {}  # by character; "" holds (id, score)
-        for p, found in self.pieces.items():
-            node = self.trie
-            for c in p:
-                node = node.setdefault(c, {})
-            node[""] = found
+        self.matches = ahocorasick.Automaton()
+        for p, (i, s) in self.pieces.items():
+            self.matches.add_word(p, (len(p), i, s))
+        self.matches.make_automaton()
         self.byte = {int(names[i][3:5], 16): i for i in range(size) if sp.is_byte(i)}
         self.byte_score = min(s for _, s in self.pieces.values()) - 2
         self.raw = {i: p.encode() for p, (i, _) in self.pieces.items()} | {i: bytes([b]) for b, i in self.byte.items()}
@@ -70,6 +107,7 @@ class Lattice:
         self.by_unit = not any(re.search("[^ ] ", p) for p in self.pieces)
         self.known: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
+        self.held = 0  # bytes of known
 
     def edges(self, text: str) -> tuple[list[list[tuple]], list[float]]:
         """Edges (start, score, ids) by end, and the best score from the start to each position. " " stands for U+2581."""
@@ -95,83 +133,72 @@ class Lattice:
     def n_best(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best (score, ids), best first."""
         into, best = self.edges(text)
-        queue, out, serial = [(-best[-1], 0, len(text), 0.0, ())], [], 0
+        queue, out = [(-round(best[-1], 9), _Path(len(text), (), None), 0.0)], []
         while queue and len(out) < n:
-            _, _, at, behind, path = heapq.heappop(queue)
-            if at == 0:
+            _, path, behind = heapq.heappop(queue)
+            if path.start == 0:
                 ids: list[int] = []
-                while path:
-                    ids += path[0]
-                    path = path[1]
+                p: _Path | None = path
+                while p is not None:
+                    ids += p.ids
+                    p = p.rest
                 out.append((behind, tuple(ids)))
                 continue
-            for start, s, ids in into[at]:
-                serial += 1
-                heapq.heappush(queue, (-(behind + s + best[start]), serial, start, behind + s, (ids, path)))
+            for start, s, ids in into[path.start]:
+                heapq.heappush(queue, (-round(behind + s + best[start], 9), _Path(start, ids, path), behind + s))
         return out
 
     def unit(self, u: str) -> tuple[bytes, float, float]:
-        """(packed ids, score, loss of the second best).
-
-        The second best segmentation has an edge that isn't on the best path; by forward and backward
-        scores the least loss of any such edge is its loss, without a search for it.
-        """
-        n, root = len(u), self.trie
-        fore, via, edges = [-math.inf] * (n + 1), [-1] * (n + 1), []
-        fore[0] = 0.0
-        for i in range(n):
-            b, node, at = fore[i], root, i
-            lone = True
-            for c in u[i : i + self.longest]:
-                node = node.get(c)
-                if node is None:
-                    break
-                at += 1
-                hit = node.get("")
-                if hit is not None:
-                    if at == i + 1:
-                        lone = False
-                    s = b + hit[1]
-                    if s > fore[at]:
-                        fore[at], via[at] = s, len(edges)
-                    edges.append((i, at, hit[1], hit[0]))
-            if lone:  # the character itself is no piece
-                ids = [self.byte.get(x, self.unk) for x in u[i].encode("utf-8", "replace")]
-                s = b + self.byte_score * len(ids)
-                if s > fore[i + 1]:
-                    fore[i + 1], via[i + 1] = s, len(edges)
-                edges.append((i, i + 1, self.byte_score * len(ids), ids))
-        path, at = [], n
+        """(packed ids, score, loss of the second best), by the two best scores from the start to each position."""
+        n, low = len(u), -math.inf
+        first, second, via = [low] * (n + 1), [low] * (n + 1), [None] * (n + 1)
+        first[0] = 0.0
+        found = list(self.matches.iter(u))  # by end, longest first
+        k, count = 0, len(found)
+        for end in range(1, n + 1):
+            f = g = low
+            v, alone = None, True
+            while k < count and found[k][0] < end:
+                size, i, s = found[k][1]
+                k += 1
+                if size == 1:
+                    alone = False
+                at = end - size
+                x = first[at] + s
+                if x > f + 1e-9:
+                    y = second[at] + s
+                    g = f if f > y else y
+                    f, v = x, (at, i)
+                elif x > g:
+                    g = x
+            if alone:  # the character itself is no piece
+                ids = [self.byte.get(x, self.unk) for x in u[end - 1].encode("utf-8", "replace")]
+                s = self.byte_score * len(ids)
+                x = first[end - 1] + s
+                if x > f + 1e-9:
+                    y = second[end - 1] + s
+                    g = f if f > y else y
+                    f, v = x, (end - 1, ids)
+                elif x > g:
+                    g = x
+            first[end], second[end], via[end] = f, g, v
+        ids, at = [], n
         while at:
-            path.append(via[at])
-            at = edges[via[at]][0]
-        on = set(path)
-        back, total, second = [-math.inf] * (n + 1), fore[n], -math.inf
-        back[n] = 0.0
-        for k in range(len(edges) - 1, -1, -1):
-            i, j, s, _ = edges[k]
-            s += back[j]
-            if s > back[i]:
-                back[i] = s
-            if k not in on and fore[i] + s > second:
-                second = fore[i] + s
-        ids = []
-        for k in reversed(path):
-            x = edges[k][3]
+            at, x = via[at]
             if type(x) is int:
                 ids.append(x)
             else:
-                ids += x
-        return self.pack(ids), total, max(0.0, total - second)
+                ids += x[::-1]
+        return self.pack(ids[::-1]), first[n], max(0.0, first[n] - second[n])
 
     def pack(self, ids) -> bytes:
         return array(self.code, ids).tobytes()
 
-    def others(self, u: str, n: int) -> list[tuple[float, bytes]]:
-        """The n - 1 best (loss, packed ids) besides the best of a unit."""
+    def others(self, u: str, n: int) -> list[tuple[float, int, bytes]]:
+        """The n - 1 best (loss, rank, packed ids) besides the best of a unit."""
         best, score, _ = self._entry(u)
         found = ((score - s, self.pack(ids)) for s, ids in self.n_best(u, n))
-        return [x for x in found if x[1] != best][: n - 1]
+        return [(loss, r, x) for r, (loss, x) in enumerate(f for f in found if f[1] != best)][: n - 1]
 
     def segment(self, text: str, n: int = N_BEST) -> list[tuple[float, bytes]]:
         """The n best (score, packed ids) of a whole text."""
@@ -187,25 +214,26 @@ class Lattice:
         total = math.fsum([e[1] for e in entries])
         out = [(total, b"".join([e[0] for e in entries]))]
         if n > 1:
-            # the n - 1 cheapest alternatives are all that can be among the n best
-            loss = np.fromiter((e[2] for e in entries), float, len(entries))
+            # the n - 1 cheapest alternatives are all that can be among the n best, and of equal ones those on the left
+            loss = np.round(np.fromiter((e[2] for e in entries), float, len(entries)), 9)
             near = [int(i) for i in np.argsort(loss, kind="stable")[: n - 1] if loss[i] < math.inf]
-            cheap = sorted((x, i, packed) for i in near for x, packed in self.others(units[i], n))[: n - 1]
+            cheap = sorted((round(x, 9), i, r, packed, x) for i in near for x, r, packed in self.others(units[i], n))[: n - 1]
             ways: list[tuple] = [(0.0, ())]
             for a in cheap:
-                more = ((x + a[0], (*w, a)) for x, w in ways if all(a[1] != b[1] for b in w))
-                ways = sorted([*ways, *more], key=lambda w: (w[0], [(b[1], b[2]) for b in w[1]]))[:n]
+                more = [(x + a[4], (*w, a)) for x, w in ways if all(a[1] != b[1] for b in w)]
+                ways = sorted([*ways, *more], key=lambda w: (round(w[0], 9), sorted((b[1], b[2]) for b in w[1])))[:n]
             for x, way in ways[1:]:
-                swap = {i: packed for _, i, packed in way}
+                swap = {a[1]: a[3] for a in way}
                 out.append((total - x, b"".join([swap.get(i, e[0]) for i, e in enumerate(entries)])))
         return out
 
     def _entry(self, u: str) -> tuple[bytes, float, float]:
         e = self.known.get(u)
         if e is None:
-            if len(self.known) >= CACHE_UNITS:
-                self.older, self.known = self.known, {}
+            if self.held >= CACHE_BYTES:
+                self.older, self.known, self.held = self.known, {}, 0
             e = self.known[u] = self.older.get(u) or self.unit(u)
+            self.held += ENTRY_BYTES + 4 * len(u)
         return e
 
     def decode(self, packed: bytes) -> str:
@@ -230,7 +258,9 @@ def segment(df: DataFrame, model_file: str, n: int = N_BEST, key: str = "doc_id"
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for rank, (score, packed) in enumerate(lattice.segment(t or "", n), 1):
                     decoded = zlib.crc32(lattice.decode(packed).encode("utf-8", "replace")) if rank == 1 else None
-                    out.append((k, rank, score, len(packed) // width, zlib.crc32(np.frombuffer(packed, lattice.kind).astype("<u4").tobytes()), decoded, np.frombuffer(packed, lattice.kind).tolist())[: 6 + with_ids])
+                    ids = np.frombuffer(packed, lattice.kind)
+                    row = (k, rank, score, len(packed) // width, zlib.crc32(ids.astype("<u4").tobytes()), decoded)
+                    out.append((*row, ids.tolist()) if with_ids else row)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
@@ -244,6 +274,19 @@ def segment(df: DataFrame, model_file: str, n: int = N_BEST, key: str = "doc_id"
     return made.withColumnRenamed("key", key)
 
 
+def encode(df: DataFrame, model_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (key, ids): the library's own encoding of each text; a null text has no ids."""
+
+    def run(batches):
+        processor = loaded(model_file).processor
+        for b in steps(batches, text, 1_000_000):
+            ids = processor.encode([t or "" for t in b.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["key", "ids"])
+
+    ship(df.sparkSession)
+    return df.select(key, text).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, ids array<int>").withColumnRenamed("key", key)
+
+
 def decode(df: DataFrame, model_file: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """Rows (key, text) from lists of ids; null ids give null."""
 
