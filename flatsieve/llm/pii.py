@@ -7,7 +7,8 @@ replaced by a keyed pseudonym of the same kind and layout; others stay as they a
 kind        validation                                 pseudonym
 ==========  =========================================  ==========================================
 card        13 to 19 digits, Luhn sum                  permuted digits with a new check digit
-phone       North American plan or +country number     permuted digits within the same plan
+phone       North American plan or +country code and   permuted digits within the same plan
+            number of 7 to 15 digits                   or after the same country code
 ssn         area, group and serial in their ranges     permuted within those ranges
 iban        two letters, mod-97 remainder              permuted account digits, new check digits
 ip          four octets of 0 to 255                    permuted 32 bits
@@ -21,6 +22,10 @@ valid in its format, it is permuted again until it is (cycle walking), so within
 pseudonyms are one-to-one: equal values stay equal across documents, different ones different. The
 layout (separators, order of a date's parts) is kept and isn't part of what is permuted.
 
+An IBAN's letters (of the bank) and an address's domain stay. A local part comes from a hash, so two may get one
+pseudonym, by chance of its letters; nothing else can. A number that WALKS steps don't bring into its format gets
+zeros for digits.
+
 Defined cases: a null text stays null with count 0; an empty text stays empty; a number inside a
 longer run of letters or digits isn't a candidate; repeated rows get equal answers; other columns
 are kept by ``pseudonymize``.
@@ -28,17 +33,20 @@ are kept by ``pseudonymize``.
 
 from __future__ import annotations
 
+import secrets
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
 
 ROUNDS = 8
-#: Times that a number is permuted at most before it stays as it is; the least dense format (dates) is missed with probability below 1e-30.
+#: Times that a number is permuted at most before its digits are masked; the least dense format (dates) is missed with probability below 1e-30.
 WALKS = 256
 _EDGE, _END = r"(?<![\w.+@-])", r"(?![\w@-]|\.\d)"
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
+    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-][A-Za-z0-9.-]{0,250}\.[A-Za-z0-9-]{1,63}",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
     "date": r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}",
     "ip": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}",
@@ -83,16 +91,23 @@ def feistel(digits: Column, key: str, kind: str, inverse: bool = False) -> Colum
 
 
 def _walk(value: Column, permute, ok) -> Column:
-    """``permute`` applied once, and again until ``ok``."""
+    """``permute`` applied once, and again until ``ok``; null if that takes over WALKS times."""
     step = lambda s, _: F.when(s["done"], s).otherwise(F.transform(F.array(permute(s["v"])), lambda v: F.struct(v.alias("v"), ok(v).alias("done")))[0])
     start = F.struct(value.alias("v"), F.lit(False).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), start, step, lambda s: F.when(s["done"], s["v"]).otherwise(value))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), start, step, lambda s: F.when(s["done"], s["v"]))
 
 
 def _laid_out(digits: Column, layout: Column) -> Column:
-    """``layout`` with its digits replaced, in order, by ``digits``."""
+    """``layout`` with its digits replaced, in order, by ``digits``; null if these are."""
     at = lambda i: F.length(_digits(F.substring(layout, F.lit(1), i)))
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(layout)), lambda i: F.when(F.substring(layout, i, F.lit(1)).rlike("[0-9]"), F.substring(digits, at(i), F.lit(1))).otherwise(F.substring(layout, i, F.lit(1)))), "")
+    one = lambda i: F.substring(layout, i, F.lit(1))
+    put = F.transform(F.sequence(F.lit(1), F.length(layout)), lambda i: F.when(one(i).rlike("[0-9]"), F.substring(digits, at(i), F.lit(1))).otherwise(one(i)))
+    return F.when(digits.isNotNull(), F.array_join(put, ""))
+
+
+def _masked(m: Column) -> Column:
+    """What stands for a value that no pseudonym was found for."""
+    return F.regexp_replace(F.regexp_replace(m, "[0-9]", "0"), "[A-Za-z]", "x")
 
 
 def _luhn_sum(digits: Column, doubled: int) -> Column:
@@ -128,10 +143,16 @@ def _national(m: Column) -> Column:
     return m.rlike(r"^(?:\+?1[ .-]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}$")
 
 
+# Country calling codes of one and of two digits; the others have three.
+_SHORT_CODES = r"^[17]"
+_TWO_DIGIT_CODES = r"^(?:20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+
+
 def phone(m: Column, key: str) -> Column:
-    """The last ten digits of a North American number, within the plan if the number was; else all digits after the country's first."""
+    """The last ten digits of a North American number, within the plan if the number was; else all digits after the country's code."""
     d = _digits(m)
-    head = F.when(_national(m), F.length(d) - 10).otherwise(F.lit(2)).cast("int")
+    code = F.when(d.rlike(_SHORT_CODES), 1).when(d.rlike(_TWO_DIGIT_CODES), 2).otherwise(3)
+    head = F.when(_national(m), F.length(d) - 10).otherwise(code).cast("int")
     tail = F.substring(d, head + 1, F.length(d) - head)
     own = F.transform(F.array(tail), lambda t: F.when(_plan(t), _walk(t, lambda v: feistel(v, key, "phone"), _plan)).otherwise(_walk(t, lambda v: feistel(v, key, "phone"), lambda v: ~_plan(v) | (F.length(v) != 10))))[0]
     return _laid_out(F.concat(F.substring(d, F.lit(1), head), own), m)
@@ -232,7 +253,7 @@ def replaced(m: Column, key: str) -> Column:
     out = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("text"))
     for kind, (ok, make) in reversed(_RULES.items()):
         fits = m.rlike(f"^(?:{KINDS[kind]})$") & F.coalesce(ok(m), F.lit(False))
-        out = F.when(fits, F.struct(F.lit(kind).alias("kind"), make(m, key).alias("text"))).otherwise(out)
+        out = F.when(fits, F.struct(F.lit(kind).alias("kind"), F.coalesce(make(m, key), _masked(m)).alias("text"))).otherwise(out)
         if kind == "card":  # four groups are the card, and a number follows
             first, rest = F.regexp_extract(m, _FOLLOWED, 1), F.regexp_extract(m, _FOLLOWED, 2)
             parts = F.when(m.rlike(_FOLLOWED) & ~is_card(m) & is_card(first), F.struct(F.lit(kind).alias("kind"), F.concat(card(first, key), rest).alias("text")))
@@ -240,11 +261,29 @@ def replaced(m: Column, key: str) -> Column:
     return out
 
 
-def pseudonymize(df: DataFrame, text: str = "text", key: str = "change-this-key", found: str | None = None) -> DataFrame:
+#: The setting that holds the key; by its name Spark leaves it out of its logs and pages.
+KEY_SETTING = "spark.flatsieve.pii.secret"
+
+
+def corpus_key(spark: SparkSession) -> str:
+    """The key in KEY_SETTING; where that is unset, a random one that holds for this application only."""
+    given = spark.conf.get(KEY_SETTING, None)
+    if given:
+        return given
+    app = spark.sparkContext.applicationId
+    if getattr(corpus_key, "of", None) != app:
+        warnings.warn(f"{KEY_SETTING} is unset: pseudonyms are linked within this application only", stacklevel=2)
+        corpus_key.of, corpus_key.key = app, secrets.token_hex(16)
+    return corpus_key.key
+
+
+def pseudonymize(df: DataFrame, text: str = "text", key: str | None = None, found: str | None = None) -> DataFrame:
     """``df`` with its ``text`` pseudonymized, and a column ``found`` of (kind, text) of the replaced values if one is named.
 
-    The key is a secret of the corpus: whoever has it can undo the permutations (``feistel`` with ``inverse``).
+    The key is a secret of the corpus: whoever has it can undo the permutations (``feistel`` with ``inverse``). It
+    is ``corpus_key`` by default, and a literal of the plan, so plans are as secret as it is.
     """
+    key = key or corpus_key(df.sparkSession)
     body = F.col(f"`{text}`")
     made = F.transform(F.regexp_extract_all(body, F.lit(PATTERN), 0), lambda m: replaced(m, key))
     # most texts have no candidate, and only those that have are cut and put together again
