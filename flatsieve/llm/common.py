@@ -60,8 +60,12 @@ class Scratch:
     handed out may still read it until then.
     """
 
+    #: Those whose tables haven't been removed, in the order of their making.
+    opened: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
+        Scratch.opened.append(self)
         self.spark, self.path = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self._close)
 
@@ -77,6 +81,13 @@ class Scratch:
         for t in tables:
             _remove(self.spark, t._scratch_path)
 
+    def close(self) -> None:
+        """Removes all its tables; nothing may read them any more."""
+        if self in Scratch.opened:
+            Scratch.opened.remove(self)
+            self._close()
+            atexit.unregister(self._close)
+
     def _close(self) -> None:
         try:
             if self.spark.sparkContext._jsc is not None:
@@ -140,8 +151,8 @@ def without(df: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def held_out(remainder: int, modulus: int, key: str = "doc_id"):
-    """True where crc32 of the key as text leaves ``remainder``."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % modulus == remainder
+    """True where crc32 of the key as text leaves ``remainder``, false for a null key."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
 def prefix_sums(df: DataFrame, order: list[str], size: str, scratch: Scratch, name: str) -> DataFrame:

@@ -8,7 +8,8 @@ training). A small gap between the two nearest codewords flags the text as ambig
 Prediction reads whole texts in steps of bounded size, with the fitted weights (N_BUCKETS x bits
 floats) in the task's closure.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0; with no rows to learn
+Defined cases: a null text or one without a letter (Unicode's categories L*) is ``und`` with score 0; of rows that repeat
+a key and language the least text is learned from; a null key isn't learned from and not held out; with no rows to learn
 from all texts are ``und``; with one language all lettered texts get it, with score 1; repeated
 rows get equal answers; other columns are ignored.
 """
@@ -20,6 +21,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +31,8 @@ N_BUCKETS = 1 << 13
 #: Rows that are fitted at most for each language, those with the smallest hash of key.
 FIT_ROWS = 300
 AMBIGUOUS_GAP = 0.1
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter of any script: Unicode's categories L*.
+LETTER = regex.compile(r"\p{L}")
 
 
 def codewords(n: int) -> np.ndarray:
@@ -119,13 +122,13 @@ def training_rows(df: DataFrame, text: str, lang: str, key: str, rows: int = FIT
     """
     from pyspark.sql import Window as W
 
-    near = df.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.xxhash64(F.col(key).cast("string")).alias("h"))
-    few = near.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h", "k"))).where(F.col("r") <= rows).select("k").distinct().collect()
+    near = df.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).rlike(LETTER.pattern)).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.xxhash64(F.col(key).cast("string")).alias("h"))
+    few = near.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h", "k"))).where(F.col("r") <= rows).select("k", "l").distinct().collect()
     if not few:
         return []
-    wanted = df.sparkSession.createDataFrame([(r["k"],) for r in few], f"k {df.schema[key].dataType.simpleString()}")
-    found = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).join(F.broadcast(wanted), "k", "left_semi")
-    return sorted((x["t"], x["l"]) for x in found.select("t", "l").collect())
+    wanted = df.sparkSession.createDataFrame([(r["k"], r["l"]) for r in few], f"k {df.schema[key].dataType.simpleString()}, l string")
+    found = df.where(F.col(text).rlike(LETTER.pattern)).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
+    return sorted((x["t"], x["l"]) for x in found.join(F.broadcast(wanted), ["k", "l"], "left_semi").groupBy("k", "l").agg(F.min("t").alias("t")).collect())
 
 
 def predict(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", passed: tuple[str, ...] = ()) -> DataFrame:

@@ -2,16 +2,19 @@
 
 A word is the bag of its hashed character n-grams and itself; its vector is their mean. A segment of
 SEGMENT words is the mean of its words' vectors, and a linear softmax gives the segment's odds of
-toxic against clean. A document's odds are the sum of its segments' odds, so one bad segment in a
-long text is not averaged away. Embeddings and softmax are trained jointly in numpy on the driver,
-on a bounded sample of labelled rows. Words that training never saw, such as misspellings, share n-grams with words it saw.
+toxic against clean. Embeddings and softmax are trained jointly in numpy on the driver, on a bounded sample of labelled
+rows, where a document's odds are the sum of its segments' odds. A document is scored by the greatest odds of its
+segments, at every word, so that neither a long clean text nor a repeated one gathers odds, and one bad segment in a
+long text is not averaged away; a scale and a bias for the greatest are fitted last. Words that training never saw,
+such as misspellings, share n-grams with words it saw.
 
 As everything before the softmax is a mean, the trained model folds into one number for each n-gram
 bucket, which is all that tasks get. Tasks keep the numbers of at most CACHE_WORDS words.
 
 Defined cases: null and empty texts are one empty segment and get the model's bias, a number between
 0 and 1; with one class or no rows to learn from the score is the labels' share of toxic (0 for
-none); a row whose label is null isn't learned from; repeated rows get equal answers; other columns
+none); a row whose label or key is null isn't learned from, nor a key that has both labels; of rows that repeat a key the
+least text is learned from; a null key isn't held out; repeated rows get equal answers; other columns
 are ignored.
 """
 
@@ -40,6 +43,8 @@ MIN_DOCS = 4
 DECAY = 0.002
 RATE = 1.0
 SCALE = 16.0
+#: Of the last fit: weight of the squares of scale and bias.
+HELD_BACK = 0.05
 CACHE_WORDS = 400_000
 WORD = re.compile(r"\w+")
 
@@ -63,15 +68,26 @@ class Model:
         sizes = np.fromiter(map(len, bags), np.int64, len(bags))
         return (np.add.reduceat(self.value[flat], np.cumsum(sizes) - sizes) / sizes).tolist() if len(bags) else []
 
+    def greatest(self, values: np.ndarray) -> float:
+        """The greatest mean of SEGMENT words in sequence, from their values in order; 0 without words."""
+        size = min(SEGMENT, len(values))
+        if not size:
+            return 0.0
+        sums = np.concatenate([np.zeros(1), np.cumsum(values, dtype=np.float64)])
+        return float((sums[size:] - sums[:-size]).max()) / size
+
     def score(self, values: np.ndarray) -> float:
         """The document's probability, from its words' values in order."""
-        if not len(values):
-            odds = self.bias
-        else:
-            at = np.arange(0, len(values), SEGMENT)
-            means = np.add.reduceat(values, at) / np.minimum(SEGMENT, len(values) - at)
-            odds = float(np.logaddexp.reduce(means + self.bias))
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.greatest(values) + self.bias))))
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Scale and bias of a logistic regression of ``y`` on ``x``, a little held back, by Newton's steps."""
+    z, w = np.stack([x, np.ones(len(x))], 1), np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
+        w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + HELD_BACK * np.eye(2), z.T @ (p - y) + HELD_BACK * w)
+    return float(w[0]), float(w[1])
 
 
 def fit(rows: list[tuple[str, int]], prior: float, epochs: int = 40) -> Model:
@@ -92,7 +108,8 @@ def fit(rows: list[tuple[str, int]], prior: float, epochs: int = 40) -> Model:
         in_docs[list({g for w in set(d) for g in bags[w]})] += 1
     used, gram = np.unique(np.where(in_docs[gram] >= MIN_DOCS, gram, N_BUCKETS), return_inverse=True)  # the last stands for all rare ones, and for those not seen at all
     n_words, lengths = len(bags), np.bincount(of).astype(np.float32)
-    del bags, docs
+    docs = [np.array(d, np.int32) for d in docs]
+    del bags
 
     rng = np.random.default_rng(5)
     e, w, b = rng.normal(0, 0.01, (len(used), DIM)).astype(np.float32), rng.normal(0, 1, (DIM, 2)).astype(np.float32), np.array([0, -4], np.float32)
@@ -117,8 +134,11 @@ def fit(rows: list[tuple[str, int]], prior: float, epochs: int = 40) -> Model:
     value = np.full(N_BUCKETS + 1, told[-1] if used[-1] == N_BUCKETS else 0, np.float32)
     value[used] = told
     value = value[:-1]
-    share = float(labels.mean())
-    return Model(value, float(b[1] - b[0]) + math.log(prior / (1 - prior)) - math.log(share / (1 - share)))
+    share, made = float(labels.mean()), Model(value, 0.0)
+    of = np.array(made.words(list(index)))
+    x = np.array([made.greatest(of[d]) for d in docs])
+    scale, bias = logistic(x, labels)
+    return Model((value * np.float32(scale)).astype(np.float32), bias + math.log(prior / (1 - prior)) - math.log(share / (1 - share)))
 
 
 def training_rows(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", rows: int = FIT_ROWS) -> tuple[list[tuple[str, int]], float]:
@@ -127,16 +147,17 @@ def training_rows(df: DataFrame, labels: DataFrame, text: str = "text", label: s
     Keys are chosen on the narrow label rows; only the texts of the chosen ones, at most 2 x ``rows``,
     are fetched.
     """
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key).cast("string")).alias("h"))
+    told = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("most"))
+    known = told.where("y = most").select("k", "y", F.xxhash64(F.col("k").cast("string")).alias("h"))
     share = known.agg(F.avg("y")).first()[0]
     few = known.where("y = 0").orderBy("h", "k").limit(rows).unionAll(known.where("y = 1").orderBy("h", "k").limit(rows))
-    chosen = {r["k"]: r["y"] for r in few.collect() if r["k"] is not None}
+    chosen = {r["k"]: r["y"] for r in few.collect()}
     if not chosen:
         return [], share or 0.0
     kind = df.schema[key].dataType.simpleString()
     wanted = df.sparkSession.createDataFrame([(k,) for k in chosen], f"k {kind}")
-    texts = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(wanted), "k", "left_semi")
-    return sorted((r["t"], chosen[r["k"]]) for r in texts.collect())[: 4 * rows], share or 0.0
+    texts = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(wanted), "k", "left_semi").groupBy("k").agg(F.min("t").alias("t"))
+    return sorted((r["t"], chosen[r["k"]]) for r in texts.collect()), share or 0.0
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", passed: tuple[str, ...] = ()) -> DataFrame:
