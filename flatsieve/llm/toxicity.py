@@ -55,6 +55,12 @@ def grams(word: str, buckets: int = N_BUCKETS) -> list[int]:
     return [zlib.crc32(w.encode("utf-8", "replace")) % buckets] + [zlib.crc32(w[i : i + n].encode("utf-8", "replace")) % buckets for n in GRAMS for i in range(len(w) - n + 1) if n < len(w)]
 
 
+def bags(words: list[str], buckets: int = N_BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of all words, one after another, and how many each has."""
+    out = [np.array(grams(w, buckets), np.int32) for w in words]
+    return np.concatenate(out) if out else np.zeros(0, np.int32), np.array([len(b) for b in out], np.int64)
+
+
 @dataclass
 class Model:
     """value: the softmax's log odds by n-gram bucket; bias: those of an empty segment."""
@@ -63,10 +69,11 @@ class Model:
     bias: float
 
     def words(self, words: list[str]) -> list[float]:
-        bags = [grams(w, len(self.value)) for w in words]
-        flat = np.fromiter((g for b in bags for g in b), np.int64)
-        sizes = np.fromiter(map(len, bags), np.int64, len(bags))
-        return (np.add.reduceat(self.value[flat], np.cumsum(sizes) - sizes) / sizes).tolist() if len(bags) else []
+        out: list[float] = []
+        for at in range(0, len(words), 20_000):
+            flat, sizes = bags(words[at : at + 20_000], len(self.value))
+            out += (np.add.reduceat(self.value[flat], np.cumsum(sizes) - sizes) / sizes).tolist()
+        return out
 
     def greatest(self, values: np.ndarray) -> float:
         """The greatest mean of SEGMENT words in sequence, from their values in order; 0 without words."""
@@ -101,15 +108,16 @@ def fit(rows: list[tuple[str, int]], prior: float, epochs: int = 40) -> Model:
     sizes = [n for d in docs for n in ([SEGMENT] * (len(d) // SEGMENT) + [len(d) % SEGMENT] * bool(len(d) % SEGMENT))]
     owner = np.repeat(np.arange(len(docs)), [-(-len(d) // SEGMENT) for d in docs])
     segment_of, sizes = np.repeat(np.arange(len(sizes)), sizes), np.array(sizes, np.float32)
-    bags = [grams(w) for w in index]
-    gram, of = np.array([g for b in bags for g in b], np.int32), np.repeat(np.arange(len(bags)), list(map(len, bags)))
+    gram, lengths = bags(list(index))
+    starts, docs = np.cumsum(lengths) - lengths, [np.array(d, np.int32) for d in docs]
     in_docs = np.zeros(N_BUCKETS, np.int32)
     for d in docs:
-        in_docs[list({g for w in set(d) for g in bags[w]})] += 1
+        d = np.unique(d)
+        at = np.repeat(starts[d] - (np.cumsum(lengths[d]) - lengths[d]), lengths[d])
+        in_docs[np.unique(gram[at + np.arange(len(at))])] += 1
+    of = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     used, gram = np.unique(np.where(in_docs[gram] >= MIN_DOCS, gram, N_BUCKETS), return_inverse=True)  # the last stands for all rare ones, and for those not seen at all
-    n_words, lengths = len(bags), np.bincount(of).astype(np.float32)
-    docs = [np.array(d, np.int32) for d in docs]
-    del bags
+    gram, n_words, lengths = gram.astype(np.int32), len(lengths), lengths.astype(np.float32)
 
     rng = np.random.default_rng(5)
     e, w, b = rng.normal(0, 0.01, (len(used), DIM)).astype(np.float32), rng.normal(0, 1, (DIM, 2)).astype(np.float32), np.array([0, -4], np.float32)
@@ -135,7 +143,8 @@ def fit(rows: list[tuple[str, int]], prior: float, epochs: int = 40) -> Model:
     value[used] = told
     value = value[:-1]
     share, made = float(labels.mean()), Model(value, 0.0)
-    of = np.array(made.words(list(index)))
+    del gram, of, tokens, segment_of, owner, words, bag
+    of = np.array(made.words(list(index)), np.float32)
     x = np.array([made.greatest(of[d]) for d in docs])
     scale, bias = logistic(x, labels)
     return Model((value * np.float32(scale)).astype(np.float32), bias + math.log(prior / (1 - prior)) - math.log(share / (1 - share)))
