@@ -14,7 +14,8 @@ costs as much as any other.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part;
 vectors of other lengths than the query's aren't its candidates; fewer candidates than k are all
-returned; ties go to the smaller id; rows that repeat an id are as many candidates; no queries or
+returned; ties go to the smaller id; rows that repeat an id and a vector are one candidate, an id with several vectors is a
+candidate by each; of query rows that repeat an id the one with the least vector is asked; no queries or
 an empty table give an empty result; other columns are ignored.
 """
 
@@ -59,7 +60,7 @@ def valid(c: Column) -> Column:
 
 def index(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """Rows (vector, dim, ids, code, norm, fit): distinct vectors, with their k + 1 least ids."""
-    few = df.where(valid(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.transform(F.col(vector), lambda x: x.cast("double") + 0.0).alias("vector"))
+    few = df.where(valid(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.transform(F.col(vector), lambda x: x.cast("double") + 0.0).alias("vector")).distinct()
     few = few.withColumn("r", F.row_number().over(W.partitionBy("vector").orderBy("id"))).where(F.col("r") <= k + 1)
     distinct = few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
@@ -108,7 +109,7 @@ def search(queries: DataFrame, df: DataFrame, k: int, key: str = "vec_id", vecto
     """Rows (query_id, rank, vec_id, score): for each row of ``queries`` its k nearest of ``df`` whose id is another."""
     scratch = Scratch(df.sparkSession, "vectors")
     found = scratch.write(index(df, key, vector, k), "index")
-    asked = queries.where(valid(F.col(vector))).select(F.col(key).cast("long").alias("query_id"), F.transform(F.col(vector), lambda x: x.cast("double") + 0.0).alias("vector")).withColumn("dim", F.size("vector"))
+    asked = queries.where(valid(F.col(vector))).select(F.col(key).cast("long").alias("query_id"), F.transform(F.col(vector), lambda x: x.cast("double") + 0.0).alias("vector")).groupBy("query_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
     asked = scratch.write(asked, "queries")
     n_q, n_v = max(1, -(-asked.count() // block)), max(1, -(-found.count() // block))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
