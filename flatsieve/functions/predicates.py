@@ -98,9 +98,8 @@ def compare_typed(c: Column, kind: T.DataType, op: str, value: str) -> Column:
         if number is None:
             return apply(c.cast("string"), F.lit(value))
         whole = number.is_integer() and isinstance(kind, T.IntegralType) and abs(number) < 2**63
-        plain = apply(c, F.lit(int(number) if whole else number))
-        # NaN is no number, so it compares as text
-        return F.when(F.isnan(c), apply(c.cast("string"), F.lit(value))).otherwise(plain) if isinstance(kind, (T.DoubleType, T.FloatType)) and op in ("!=", ">", ">=") else plain
+        # NaN is no number and compares as text; that is above any number's text, as it is above any number here
+        return apply(c, F.lit(int(number) if whole else number))
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return apply(c, F.lit(value).try_cast(kind.simpleString()))
     if isinstance(kind, T.BooleanType):

@@ -52,15 +52,33 @@ def from_csv(path: str, delimiter: str = ",", limits: InputLimits | None = None,
     return Relation(data.select("_seq", tokenized(F.col("value"), delimiter, limits.max_record_bytes, limits.max_fields).alias("_f")), first[0][0], text=True, lines=data)
 
 
+def _head(spark: SparkSession, path: str, n: int) -> bytes:
+    """The first ``n`` bytes at most of a file, or of a folder's first file; the rest isn't read."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = list(fs.globStatus(p) or [])
+    while found and found[0].isDirectory():
+        inside = fs.listStatus(found[0].getPath())
+        found = sorted((x for x in inside if x.getPath().getName()[:1] not in "._"), key=lambda x: x.getPath().getName())
+    if not found:
+        return b""
+    stream = fs.open(found[0].getPath())
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, n)))
+    finally:
+        stream.close()
+
+
 def _first_object(spark: SparkSession, path: str) -> tuple[str, bool]:
     """The text of the first object, and whether the file is an array.
 
     Only the file's beginning is read, in growing pieces, until an object is whole.
     """
-    sizes, decoder = [1 << 16, 1 << 20, 1 << 24, 1 << 31], json.JSONDecoder()
+    guarded(lambda: spark.read.text(path))  # a path that isn't there is an error as for any source
+    sizes, decoder = [1 << 16, 1 << 20, 1 << 24, 1 << 28], json.JSONDecoder()
     for n in sizes:
-        head = guarded(lambda n=n: spark.read.format("binaryFile").load(path).select(F.substring("content", 1, n).alias("c")).head(1))
-        text = bytes(head[0][0]).decode("utf-8", "ignore") if head else ""
+        text = _head(spark, path, n).decode("utf-8", "ignore")
         body = text.lstrip("﻿ \t\r\n")
         if not body:
             raise ScanError("EmptyFile")

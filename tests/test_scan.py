@@ -4,10 +4,12 @@ import json
 
 import oracle
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import flatsieve as fs
 from flatsieve.errors import ScanError
-from flatsieve.functions.predicates import Predicate, parse_where
+from flatsieve.functions.predicates import Predicate, compare_typed, parse_where
 from flatsieve.sources.readers import InputLimits, from_bytes, open_path
 
 HEADER = ["id", "name", "amount", "city"]
@@ -166,3 +168,24 @@ def test_large_file_order(tmp_path, spark):
     long = '""' * 120_000
     (tmp_path / "long.csv").write_text(f'a,b\n"{long}",1\n')
     assert next(fs.scan(tmp_path / "long.csv"))["a"] == '"' * 120_000
+
+
+def test_json_beyond_the_limit_of_whole_files(spark, tmp_path):
+    """Opening reads the beginning only, however large the file."""
+    path = tmp_path / "x.ndjson"
+    path.write_text("".join(f'{{"a": "{i}", "b": "x"}}\n' for i in range(20_000)))
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        assert fs.count(str(path)) == 20_000 and next(iter(fs.scan(str(path), columns=["a"], limit=1))) == {"a": "0"}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+@pytest.mark.parametrize("op", [">", ">=", "!=", "<", "="])
+def test_doubles_reach_the_scan(spark, tmp_path, op):
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame([(1.0,), (float("nan"),), (50.0,), (30.0,), (None,)], "d double").write.parquet(path)
+    found = spark.read.parquet(path).where(compare_typed(F.col("d"), T.DoubleType(), op, "30"))
+    assert "PushedFilters: [" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "30.0" in plan.split("PushedFilters: [")[1].split("]")[0]
+    want = {">": {"50.0", "nan"}, ">=": {"50.0", "30.0", "nan"}, "!=": {"1.0", "50.0", "nan"}, "<": {"1.0"}, "=": {"30.0"}}[op]
+    assert {str(r["d"]) for r in found.collect()} == want
