@@ -7,6 +7,8 @@ import pytest
 import xxhash
 from conftest_words import words
 
+from pyspark.sql import functions as F
+
 from flatsieve.llm import line_dedup, simhash
 from flatsieve.llm.common import Scratch
 from flatsieve.llm.components import components
@@ -231,3 +233,19 @@ def test_near_copies_in_a_family(docs):
         rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(copy))]
     out = {x["doc_id"]: x["component"] for x in simhash.near_copies(docs(rows)).collect()}
     assert sum(out[2 * k] == out[2 * k + 1] for k in range(150)) == 150
+
+
+def test_lines_recall_on_a_table(spark):
+    """Of all pairs of lines of a whole table that are alike, by brute force over a fifth of the lines against all: 0.9 or more are in one group."""
+    table = "/root/testdata/sf0.001/documents.parquet"
+    texts = [r["text"] for r in spark.read.parquet(table).select("text").collect() if r["text"]]
+    x = line_dedup.Lines(texts, simhash=False)
+    lines = sorted({x.normalised(i).decode() for i in range(len(x.h))} , key=len)
+    lines = [s for s in lines if 5 <= len(s) <= 400]
+    df = spark.createDataFrame(list(enumerate(lines)), "i long, s string")
+    asked, all_ = df.where("i % 5 = 0").alias("x"), df.alias("y")
+    near = asked.join(all_, F.expr("x.i <> y.i AND least(length(x.s), length(y.s)) >= 0.8 * greatest(length(x.s), length(y.s))")).where(line_dedup._similar(F.col("x.s"), F.col("y.s")))
+    pairs = [(r[0], r[1]) for r in near.select("x.i", "y.i").collect()]
+    kept = {r["i"]: r["t"] for r in line_dedup.dedup_lines(df.withColumn("t", F.col("s")), "i", "t").select("i", "t").collect()}
+    # one line of a pair may be its group's first; both can't stay
+    assert pairs and sum(kept[a] == "" or kept[b] == "" for a, b in pairs) >= 0.9 * len(pairs)
