@@ -5,8 +5,7 @@ SEGMENT words is the mean of its words' vectors, and a linear softmax gives the
 toxic against clean. Embeddings and softmax are trained jointly in numpy on the driver, on a bounded sample of labelled
 rows, where a document's odds are the sum of its segments' odds. A document is scored by the greatest odds of its
 segments, at every word, so that neither a long clean text nor a repeated one gathers odds, and one bad segment in a
-long text is not averaged away; a scale and a bias for the greatest are fitted last. Words that training never saw,
-such as misspellings, share n-grams with words it saw.
+long text is not averaged away. Words that training never saw, such as misspellings, share n-grams with words it saw.
 
 As everything before the softmax is a mean, the trained model folds into one number for each n-gram
 bucket, which is all that tasks get. Tasks keep the numbers of at most CACHE_WORDS words.
@@ -43,8 +42,6 @@ MIN_DOCS = 4
 DECAY = 0.002
 RATE = 1.0
 SCALE = 16.0
-#: Of the last fit: weight of the squares of scale and bias.
-HELD_BACK = 0.05
 CACHE_WORDS = 400_000
 WORD = re.compile(r"\w+")
 
@@ -88,15 +85,6 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.greatest(values) + self.bias))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Scale and bias of a logistic regression of ``y`` on ``x``, a little held back, by Newton's steps."""
-    z, w = np.stack([x, np.ones(len(x))], 1), np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + HELD_BACK * np.eye(2), z.T @ (p - y) + HELD_BACK * w)
-    return float(w[0]), float(w[1])
-
-
 def fit(rows: list[tuple[str, int]], prior: float, epochs: int = 40) -> Model:
     """Fit on (text, 0 or 1) rows; ``prior`` is the share of 1 among all labelled rows, which the sample of each class hides."""
     labels = np.array([y for _, y in rows], np.float32)
@@ -142,12 +130,8 @@ def fit(rows: list[tuple[str, int]], prior: float, epochs: int = 40) -> Model:
     value = np.full(N_BUCKETS + 1, told[-1] if used[-1] == N_BUCKETS else 0, np.float32)
     value[used] = told
     value = value[:-1]
-    share, made = float(labels.mean()), Model(value, 0.0)
-    del gram, of, tokens, segment_of, owner, words, bag
-    of = np.array(made.words(list(index)), np.float32)
-    x = np.array([made.greatest(of[d]) for d in docs])
-    scale, bias = logistic(x, labels)
-    return Model((value * np.float32(scale)).astype(np.float32), bias + math.log(prior / (1 - prior)) - math.log(share / (1 - share)))
+    share = float(labels.mean())
+    return Model(value, float(b[1] - b[0]) + math.log(prior / (1 - prior)) - math.log(share / (1 - share)))
 
 
 def training_rows(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", rows: int = FIT_ROWS) -> tuple[list[tuple[str, int]], float]:
