@@ -83,3 +83,20 @@ def test_language_edges(edges, none, docs):
     assert (one["lang_pred"], one["score"]) == ("xx", pytest.approx(1))
     assert language_id.training_rows(none, "text", "lang", "doc_id") == []
     assert len(language_id.training_rows(edges, "text", "lang", "doc_id", 3)) <= 6
+
+
+def test_letters_only(docs):
+    """Number signs and digits are no letters."""
+    model = language_id.fit([("the words of one", "en"), ("les mots de deux", "fr")] * 4)
+    out = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs([(1, "½ ½ ² 12 _"), (2, "the"), (3, None)]), model).collect()}
+    assert out[1] == out[3] == "und" and out[2] != "und"
+
+
+def test_length_gathers_no_toxicity():
+    rows = [(words(i, 60) + f" such a {'idiot' if i % 3 == 0 else 'friend'} here " + words(i + 9000, 60), int(i % 3 == 0)) for i in range(300)]
+    model = toxicity.fit(rows, 1 / 3)
+    values = np.array(model.words(words(77, 50).split()), np.float32)
+    once = model.score(values)
+    assert once < 0.5 and all(model.score(np.tile(values, n)) < 0.5 for n in (10, 1000))
+    learned = [model.score(np.array(model.words(t.split()), np.float32)) >= 0.5 for t, _ in rows]
+    assert np.mean([a == bool(y) for a, (_, y) in zip(learned, rows)]) > 0.9  # a constant answer has 2 of 3

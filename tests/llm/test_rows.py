@@ -260,3 +260,14 @@ def test_key_of_the_corpus(spark, docs):
         assert pii.pseudonymize(df).head()["text"] == pii.pseudonymize(df, key="given").head()["text"] != a
     finally:
         spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_repeated_queries_and_candidates(spark):
+    """A query row that is there twice gives the same k neighbours, and a candidate row that is there often is one."""
+    r = random.Random(3)
+    rows = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(60)]
+    df = spark.createDataFrame(rows + [rows[0]] + [rows[9]] * 30, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, vector_search.search(df.where("vec_id = 0"), df, 5).collect()))
+    score = {i: sum(a * b for a, b in zip(rows[0][1], v)) for i, v in rows[1:]}
+    want = sorted(score, key=lambda i: (-score[i], i))[:5]
+    assert [(q, k, i) for q, k, i, _ in got] == [(0, k, i) for k, i in enumerate(want, 1)]
