@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from .errors import ScanError
 from .operators import profile as _profile
@@ -30,20 +30,31 @@ def schema(path) -> list[str]:
 def scan(path, columns: Sequence[str] | None = None, where: Where = None, limit: int | None = None, negate: bool = False, **options) -> Iterator[dict]:
     """Rows as dictionaries in file order, a partition at a time. Extra fields of a row are ``col`` and their number, absent ones missing."""
     relation = _query(path, columns, where, limit, negate, **options)
-    return (relation.as_dict(list(r[0])) for r in _validate._local(relation.raw()))
+    return (relation.as_dict(f) for f in relation.local())
 
 
-def scan_array(path, columns: Sequence[str] | None = None, where: Where = None, limit: int | None = None, negate: bool = False, **options) -> dict[str, list]:
-    """Whole columns by name, as wide as the header: absent fields empty, extra ones dropped."""
+def scan_array(path, columns: Sequence[str] | None = None, where: Where = None, limit: int | None = None, negate: bool = False, as_dict: bool | None = None, **options) -> dict[str, list] | list:
+    """Whole columns by name, as wide as the header: absent fields empty, extra ones dropped.
+
+    With ``as_dict`` a list of rows instead: dictionaries as ``scan`` gives them, or for False tuples.
+    """
     relation = _query(path, columns, where, limit, negate, **options)
+    if as_dict is not None:
+        return [_view(relation, as_dict)(f) for f in relation.local()]
     table = guarded(relation.frame(ordered=True).toArrow)
     return {name: table.column(i).to_pylist() for i, name in enumerate(table.column_names)}
 
 
 def scan_batches(path, columns: Sequence[str] | None = None, where: Where = None, limit: int | None = None, negate: bool = False, *, batch_size: int = 1024, target_bytes: int = 1 << 20, as_dict: bool = True) -> Iterator[list]:
     relation = _query(path, columns, where, limit, negate)
-    view = relation.as_dict if as_dict else (lambda f: tuple(relation.as_dict(f).values())) if columns else tuple
-    return sinks.batches((view(list(r[0])) for r in _validate._local(relation.raw())), batch_size, target_bytes)
+    return sinks.batches(map(_view(relation, as_dict), relation.local()), batch_size, target_bytes)
+
+
+def _view(relation: Relation, as_dict: bool) -> Callable[[list], dict | tuple]:
+    """How a row is shown: by name, or as a tuple of its fields or of the selected ones."""
+    if as_dict:
+        return relation.as_dict
+    return tuple if relation.columns is None else lambda f: tuple(relation.as_dict(f).values())
 
 
 def count(path, where: Where = None, negate: bool = False, limit: int | None = None) -> int:
@@ -105,8 +116,10 @@ def validate_iter(path, schema: dict) -> Iterator[tuple[dict, list[ValidationErr
     return _validate.rows_with_errors(open_path(path), schema)
 
 
-def validate_batches(path, schema: dict, *, batch_size: int = 1024, target_bytes: int = 1 << 20) -> Iterator[list]:
-    return sinks.batches(validate_iter(path, schema), batch_size, target_bytes)
+def validate_batches(path, schema: dict, *, batch_size: int = 1024, target_bytes: int = 1 << 20, as_dict: bool = True) -> Iterator[list]:
+    """Batches of (row, errors), the rows as dictionaries or, without ``as_dict``, tuples of their fields."""
+    rows = _validate.rows_with_errors(open_path(path), schema, as_dict)
+    return sinks.batches(rows, batch_size, target_bytes)
 
 
 def validate_to_files(path, schema: dict, accepted_path, rejected_path) -> dict:

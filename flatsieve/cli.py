@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .errors import ScanError
 from .operators import validate
-from .operators.relation import Relation, guarded
+from .operators.relation import Relation, guarded, streamed
 from .sources.readers import open_path
 from .sources.sinks import csv_text
 
@@ -75,7 +75,7 @@ def _validate(a: argparse.Namespace, out, err) -> int:
             return 0 if r.ok else 1
         rows = validate.checked(relation, schema)
         n = F.size("errors")
-        for r in validate._local(rows.where(n == 0 if a.valid else n > 0).orderBy("_seq")):
+        for r in streamed(rows.where(n == 0 if a.valid else n > 0).orderBy("_seq")):
             _emit(relation, list(r["_f"]), a.format, out)
         return 0
     except (OSError, ScanError) as e:
@@ -114,8 +114,8 @@ def main(argv: list[str] | None = None, out=sys.stdout, err=sys.stderr) -> int:
         elif a.count:
             out.write(f"{relation.count()}\n")
         else:
-            for r in validate._local(relation.raw()):
-                _emit(relation, list(r[0]), a.format, out)
+            for fields in relation.local():
+                _emit(relation, fields, a.format, out)
         return 0
     except ScanError as e:
         err.write(f"flatsieve: {e}\n")

@@ -51,12 +51,11 @@ def _named(kind: T.DataType) -> str | None:
 
 def describe_frame(relation: Relation, sample_size: int = 1000) -> DataFrame:
     """Rows (position, column, type), from the first ``sample_size`` rows in one pass."""
-    sample = relation.limit(sample_size).kept()
-    kinds = []
+    relation, kinds = relation.sample(sample_size), []
     for i in range(len(relation.header)):
         c, named = relation.at(i), _named(relation.kind(i))
         kinds.append((F.when(F.count(c) == 0, "empty").otherwise(named) if named else type_of(F.coalesce(c.cast("string"), F.lit("")))).alias(f"t{i}"))
-    found = sample.agg(*kinds)
+    found = relation.kept().agg(*kinds)
     pairs = F.array(*(F.struct(F.lit(i).alias("position"), F.lit(h).alias("column"), F.col(f"t{i}").alias("type")) for i, h in enumerate(relation.header)))
     return found.select(F.explode(pairs).alias("p")).select("p.*")
 
@@ -76,12 +75,12 @@ def infer_schema(relation: Relation, sample_size: int = 1000, required: bool = F
 
 def profile(relation: Relation, sample_limit: int = 1) -> dict:
     """Columns, rows, and the summary of every column whose first non-empty sampled value is a number: one pass over the data."""
-    sample = relation.limit(sample_limit).dicts()
+    sample = relation.sample(sample_limit).dicts()
     numeric = []
     for name in relation.header:
         first = next((r[name] for r in sample if r.get(name) not in ("", None)), None)
         if literal_number(first) is not None if isinstance(first, str) else isinstance(first, (int, float)) and not isinstance(first, bool):
             numeric.append(name)
-    found = guarded(relation.aggregates(numeric).head) if numeric else {}
+    found = guarded(relation.aggregates(numeric, F.count("*").alias("rows")).head) if numeric else {"rows": relation.count()}
     parts = ("count", "sum", "min", "max", "avg")
-    return {"columns": list(relation.header), "row_count": relation.count(), "numeric_columns": {c: {p: found[f"{i}_{p}"] for p in parts} for i, c in enumerate(numeric)}}
+    return {"columns": list(relation.header), "row_count": found["rows"], "numeric_columns": {c: {p: found[f"{i}_{p}"] for p in parts} for i, c in enumerate(numeric)}}

@@ -8,7 +8,7 @@ case; the first of equal names wins.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -22,6 +22,8 @@ from ..functions.numeric import num
 from ..functions.predicates import Predicate, compiled, predicates
 
 _CODES = ("UnterminatedQuote", "RecordTooLarge", "TooManyFields", "NestedValueNotSupported", "InvalidJson", "InvalidUtf8")
+#: Rows up to which a limit on a text source is collected at once, without reading what follows.
+FEW = 100_000
 
 
 def guarded(action: Callable[[], Any]) -> Any:
@@ -38,6 +40,13 @@ def guarded(action: Callable[[], Any]) -> Any:
         raise
 
 
+def streamed(df: DataFrame) -> Iterator:
+    """The rows of ``df`` in its order, a partition at a time."""
+    rows = guarded(df.toLocalIterator)
+    while (r := guarded(lambda: next(rows, None))) is not None:
+        yield r
+
+
 def summary(n: Column) -> list[Column]:
     """count, sum, min, max and avg of a numeric expression; without numbers the sum is 0 and the others null."""
     d = n.cast("double")
@@ -138,8 +147,34 @@ class Relation:
         df = self.kept(ordered=True)
         return df.select("_f") if self.text else df.select(F.struct(*(self.df[c] for c in self.df.columns)).alias("_f"))
 
+    def few(self) -> DataFrame | None:
+        """For a text source with a limit of at most FEW: its rows in order, for the driver to collect.
+
+        Partitions follow the file, and ``collect`` of a bare limit runs them in order until it has enough.
+        """
+        if not self.text or self.rows is None or self.rows > FEW:
+            return None
+        condition = self._condition()
+        return (self.df if condition is None else self.df.where(condition)).limit(self.rows)
+
+    def local(self) -> Iterator[list]:
+        """All fields of each row, in order: a partition at a time, or at once where a limit says that they are few."""
+        few = self.few()
+        rows = guarded(few.select("_f").collect) if few is not None else streamed(self.raw())
+        return (list(r[0]) for r in rows)
+
+    def sample(self, n: int) -> Relation:
+        """The first ``n`` rows as a relation of their own; what follows them in a text source isn't read where they are few."""
+        few = self.limit(n if self.rows is None else min(n, self.rows))
+        rows = few.few()
+        if rows is None:
+            return few
+        held = guarded(rows.select("_seq", "_f").collect)
+        local = rows.sparkSession.createDataFrame(held, "_seq long, _f array<string>")
+        return replace(few, df=local, lines=None, conditions=(), negated=False, held=self)
+
     def dicts(self) -> list[dict]:
-        return [self.as_dict(list(r[0])) for r in guarded(self.raw().collect)]
+        return [self.as_dict(f) for f in self.local()]
 
     def count(self) -> int:
         """Matching rows. Without a filter nothing is parsed."""
@@ -160,10 +195,10 @@ class Relation:
         """One row: count, sum, min, max, avg of the column's numbers."""
         return self.aggregates([column]).select(*(F.col(f"0_{x}").alias(x) for x in ("count", "sum", "min", "max", "avg")))
 
-    def aggregates(self, columns: Sequence[str]) -> DataFrame:
-        """One row for several columns in one pass: ``i_count``, ``i_sum`` and so on for the i-th."""
+    def aggregates(self, columns: Sequence[str], *more: Column) -> DataFrame:
+        """One row for several columns in one pass: ``i_count``, ``i_sum`` and so on for the i-th, and ``more``."""
         many = [c.alias(f"{i}_{n}") for i, name in enumerate(columns) for c, n in zip(summary(self.number(self.index(name))), ("count", "sum", "min", "max", "avg"))]
-        return self.kept().agg(*many)
+        return self.kept().agg(*many, *more)
 
     def group_by(self, group: str, column: str) -> DataFrame:
         """A row for each text of ``group``: key, count, sum, min, max, avg. Rows without that field are skipped; empty is a key."""

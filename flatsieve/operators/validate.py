@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .relation import Relation, guarded
+from .relation import Relation, guarded, streamed
 from .rules import ERRORS, compile_schema, row_errors
 
 DEFAULT_MAX_ERRORS = 100
@@ -118,14 +118,10 @@ def failed_rows(relation: Relation, schema: dict | str) -> list[dict]:
     return [{"values": list(r["_f"]), "errors": [e.asDict() for e in r["errors"]]} for r in guarded(rows.collect)]
 
 
-def rows_with_errors(relation: Relation, schema: dict | str) -> Iterator[tuple[dict, list[ValidationError]]]:
+def rows_with_errors(relation: Relation, schema: dict | str, as_dict: bool = True) -> Iterator[tuple[dict | tuple, list[ValidationError]]]:
     """Every row in order, a partition at a time."""
     rows = checked(relation, schema).orderBy("_seq")
-    for n, r in enumerate(_local(rows), 1):
-        yield relation.as_dict(list(r["_f"])), [ValidationError(n, e["column"], e["column_name"], e["rule"], e["value"]) for e in r["errors"]]
+    for n, r in enumerate(streamed(rows), 1):
+        fields = list(r["_f"])
+        yield relation.as_dict(fields) if as_dict else tuple(fields), [ValidationError(n, e["column"], e["column_name"], e["rule"], e["value"]) for e in r["errors"]]
 
-
-def _local(df: DataFrame) -> Iterator:
-    rows = guarded(df.toLocalIterator)
-    while (r := guarded(lambda: next(rows, None))) is not None:
-        yield r

@@ -20,7 +20,7 @@ JSON_SUFFIXES = (".ndjson", ".jsonl", ".json")
 
 @dataclass(frozen=True)
 class InputLimits:
-    """Inclusive bounds on a record of delimited text; None is no bound."""
+    """Inclusive bounds on a record; None is no bound."""
 
     max_record_bytes: int | None = None
     max_fields: int | None = None
@@ -96,7 +96,25 @@ def _first_object(spark: SparkSession, path: str) -> tuple[str, bool]:
     raise ScanError("InvalidJson")
 
 
-def from_json(path: str, spark: SparkSession | None = None) -> Relation:
+def _within(spark: SparkSession, path: str, array: bool, limits: InputLimits) -> None:
+    """Raises for the first record beyond ``limits``: a pass of its own, up to that record, and only where there are limits.
+
+    A line of NDJSON counts with its source bytes, an object of an array with those of its compact text.
+    """
+    if limits.max_record_bytes is None and limits.max_fields is None:
+        return
+    if array:
+        rows = spark.read.option("singleVariantColumn", "v").option("multiLine", True).json(path).select(F.to_json("v").alias("value"))
+    else:
+        rows = spark.read.text(path, lineSep="\n")
+    large = F.octet_length("value") > F.lit(limits.max_record_bytes)
+    many = F.size(F.json_object_keys("value")) > F.lit(limits.max_fields)
+    found = guarded(lambda: rows.select(F.when(large, "RecordTooLarge").when(many, "TooManyFields").alias("e")).where("e IS NOT NULL").head(1))
+    if found:
+        raise ScanError(found[0]["e"])
+
+
+def from_json(path: str, spark: SparkSession | None = None, limits: InputLimits | None = None) -> Relation:
     """NDJSON, or an array of objects (sniffed). The first object's keys are the header; values keep their source text.
 
     Values come from the file reader with a schema of strings, as other JSON functions rewrite numbers.
@@ -105,6 +123,7 @@ def from_json(path: str, spark: SparkSession | None = None) -> Relation:
     """
     spark = spark or session()
     first, array = _first_object(spark, path)
+    _within(spark, path, array, limits or InputLimits())
     header = list(dict.fromkeys(k for k, _ in json.loads(first, object_pairs_hook=lambda kv: kv)))
     if not header:
         raise ScanError("InvalidJson")
@@ -151,7 +170,7 @@ def open_path(path: str | os.PathLike, format: str | None = None, delimiter: str
         path = "file://" + os.path.abspath(local)
     if format is None:
         format = "json" if path.lower().endswith(JSON_SUFFIXES) else "csv"
-    return from_csv(path, delimiter, limits, spark) if format == "csv" else from_json(path, spark)
+    return from_csv(path, delimiter, limits, spark) if format == "csv" else from_json(path, spark, limits)
 
 
 def as_text(df: DataFrame) -> Relation:

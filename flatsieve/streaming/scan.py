@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +20,21 @@ from ..sources.tokenizer import tokenized
 
 
 def stream_lines(spark: SparkSession, folder: str, header: Sequence[str], delimiter: str = ",") -> DataFrame:
-    """Rows (_f) of all data lines. ``wholetext`` reads each file as one record, so that its first line is known to be first."""
-    files = spark.readStream.text(folder, wholetext=True)
-    lines = files.select(F.explode(F.slice(F.split(F.regexp_replace("value", r"\n\z", ""), "\n", -1), 2, 2**31 - 1)).alias("line"))
-    return lines.select(tokenized(F.col("line"), delimiter).alias("_f"))
+    """Rows (_f) of all data lines. Files are split as for any scan; the line that begins a file is its header and goes."""
+
+    def run(batches):
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            path, start = b.column(1), b.column(2)
+            apart = pc.or_(pc.not_equal(path[1:], path[:-1]), pc.not_equal(start[1:], start[:-1]))
+            fresh = pa.concat_arrays([pa.array([last != (path[0], start[0])]), apart])
+            last = path[-1], start[-1]
+            yield b.filter(pc.invert(pc.and_(fresh, pc.equal(start, 0)))).select([0])
+
+    lines = spark.readStream.text(folder, lineSep="\n").select("value", "_metadata.file_path", "_metadata.file_block_start")
+    return lines.mapInArrow(run, "value string").select(tokenized(F.col("value"), delimiter).alias("_f"))
 
 
 def stream_where(rows: DataFrame, header: Sequence[str], where: str | Sequence | None, negate: bool = False) -> DataFrame:
