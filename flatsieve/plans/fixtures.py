@@ -50,8 +50,9 @@ def _export(df: DataFrame, key: str, format: str) -> str:
     out = path(f"table.{format}")
     cells = F.array(*(F.coalesce(df[c].cast("string"), F.lit("")) for c in df.columns))
     row = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-    if format == "csv":
-        write_lines(df.select(F.col(key).alias("_seq"), csv_line(cells).alias("value")), out, csv_text(df.columns) + "\n")
+    if format in ("csv", "tsv"):
+        delimiter = "," if format == "csv" else "\t"
+        write_lines(df.select(F.col(key).alias("_seq"), csv_line(cells, delimiter).alias("value")), out, csv_text(df.columns, delimiter) + "\n")
     elif format == "ndjson":
         write_lines(df.select(F.col(key).alias("_seq"), row.alias("value")), out)
     else:

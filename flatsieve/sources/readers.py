@@ -99,12 +99,15 @@ def _first_object(spark: SparkSession, path: str) -> tuple[str, bool]:
 def _within(spark: SparkSession, path: str, array: bool, limits: InputLimits) -> None:
     """Raises for the first record beyond ``limits``: a pass of its own, up to that record, and only where there are limits.
 
-    A line of NDJSON counts with its source bytes, an object of an array with those of its compact text.
+    A line of NDJSON counts with its source bytes and all keys, an object of an array with the bytes of its compact text
+    and the keys that aren't null.
     """
     if limits.max_record_bytes is None and limits.max_fields is None:
         return
     if array:
-        rows = spark.read.option("singleVariantColumn", "v").option("multiLine", True).json(path).select(F.to_json("v").alias("value"))
+        found = spark.read.option("primitivesAsString", True).option("multiLine", True).json(path)
+        named = ["`" + c.replace("`", "``") + "`" for c in found.columns if c != "_corrupt_record"]
+        rows = found.select(F.to_json(F.struct(*named)).alias("value"))
     else:
         rows = spark.read.text(path, lineSep="\n")
     large = F.octet_length("value") > F.lit(limits.max_record_bytes)
