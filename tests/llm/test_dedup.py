@@ -249,3 +249,29 @@ def test_lines_recall_on_a_table(spark):
     kept = {r["i"]: r["t"] for r in line_dedup.dedup_lines(df.withColumn("t", F.col("s")), "i", "t").select("i", "t").collect()}
     # one line of a pair may be its group's first; both can't stay
     assert pairs and sum(kept[a] == "" or kept[b] == "" for a, b in pairs) >= 0.9 * len(pairs)
+
+
+def test_edits_of_lines_against_the_whole_matrix():
+    from flatsieve.llm.line_dedup import within
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            new = [i]
+            for j, b in enumerate(y, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (a != b)))
+            row = new
+        return row[-1]
+
+    r = random.Random(1)
+    for t in range(600):
+        letters, n = r.choice(["ab", "abcdefgh", "aé😀漢z"]), r.choice([0, 1, 3, 10, 30, 70, 130])
+        x = "".join(r.choice(letters) for _ in range(n))
+        y = list(x)
+        for _ in range(r.randrange(1 + n // 3)):
+            i = r.randrange(len(y) + 1)
+            y[i : i + r.randrange(2)] = r.choice(letters) * r.randrange(2)
+        y = "".join(y) if t % 10 else "".join(r.choice(letters) for _ in range(n))
+        d = distance(x, y)
+        for most in {0, d - 1, d, d + 1, max(len(x), len(y)) // 5} - {-1}:
+            assert within(x, y, most) == within(y, x, most) == (d <= most)
