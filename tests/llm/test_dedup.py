@@ -275,3 +275,38 @@ def test_edits_of_lines_against_the_whole_matrix():
         d = distance(x, y)
         for most in {0, d - 1, d, d + 1, max(len(x), len(y)) // 5} - {-1}:
             assert within(x, y, most) == within(y, x, most) == (d <= most)
+
+
+def test_lines_with_one_common_passage_all_meet(docs, monkeypatch):
+    """Lines that share only a passage with their copies, and mostly hold other grams: the second step compares them too."""
+    r, rows = random.Random(19), []
+    letters = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    passage = letters(40)
+    for k in range(40):
+        rest = letters(90)
+        edits = list(rest)
+        for at in range(2, 90, 4):  # no run of over three letters of the rest is left
+            edits[at] = "z"
+        rows += [(k, passage + rest), (100 + k, passage + "".join(edits))]
+    assert sum(line_dedup.within(x, y, 26) for i, (_, x) in enumerate(rows) for _, y in rows[:i]) == 40
+    rows += [(1000 + k, letters(120)) for k in range(1000)]
+    monkeypatch.setattr(line_dedup, "PAIRED", 2)
+    monkeypatch.setattr(line_dedup, "BLOCK", 2)
+    assert line_dedup.dedup_lines(docs(rows)).where("text <> ''").count() == 40 + 1000
+
+
+def test_many_pairs_at_once_as_one_by_one():
+    r, xs, ys = random.Random(23), [], []
+    for _ in range(3000):
+        letters = r.choice(["ab", "abcdefgh", "aé漢😀"])
+        x = [r.choice(letters) for _ in range(r.choice([0, 1, 5, 30, 80, 300]))]
+        y = list(x)
+        for _ in range(r.randint(0, len(x) // 3 + 1)):
+            at = r.randint(0, len(y))
+            y[at : at + r.randint(0, 1)] = r.choice(["", r.choice(letters)])
+        xs.append("".join(x))
+        ys.append("".join(y))
+    xs += ["q" * 2000, "a" * 5000]  # the first has a bound above 255, the second is verified alone
+    ys += ["q" * 1601 + "r", "a" * 4001]
+    want = [line_dedup.within(x, y, int(max(len(x), len(y)) * 0.2 + 1e-9)) for x, y in zip(xs, ys)]
+    assert line_dedup.alike(xs, ys).tolist() == want and 500 < sum(want) < 2700
