@@ -277,8 +277,8 @@ def test_edits_of_lines_against_the_whole_matrix():
             assert within(x, y, most) == within(y, x, most) == (d <= most)
 
 
-def test_lines_with_one_common_passage_all_meet(docs, monkeypatch):
-    """Lines that share only a passage with their copies, and mostly hold other grams: the second step compares them too."""
+def one_passage():
+    """40 lines with a copy each, with which they share only a passage that all 80 have, and 1000 other lines."""
     r, rows = random.Random(19), []
     letters = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
     passage = letters(40)
@@ -289,10 +289,21 @@ def test_lines_with_one_common_passage_all_meet(docs, monkeypatch):
             edits[at] = "z"
         rows += [(k, passage + rest), (100 + k, passage + "".join(edits))]
     assert sum(line_dedup.within(x, y, 26) for i, (_, x) in enumerate(rows) for _, y in rows[:i]) == 40
-    rows += [(1000 + k, letters(120)) for k in range(1000)]
+    return rows + [(1000 + k, letters(120)) for k in range(1000)]
+
+
+def test_lines_with_one_common_passage_all_meet(docs, monkeypatch):
+    """Such lines mostly hold other grams; the second step compares them too."""
     monkeypatch.setattr(line_dedup, "PAIRED", 2)
     monkeypatch.setattr(line_dedup, "BLOCK", 2)
-    assert line_dedup.dedup_lines(docs(rows)).where("text <> ''").count() == 40 + 1000
+    assert line_dedup.dedup_lines(docs(one_passage())).where("text <> ''").count() == 40 + 1000
+
+
+def test_the_pipelines_lines_with_one_common_passage_all_meet(spark, docs):
+    """The stage of the pipeline, with the parts and blocks that it runs with."""
+    import corpus_pipeline
+
+    assert corpus_pipeline.repeated_lines_out(spark, docs(one_passage()), "").where("text <> ''").count() == 40 + 1000
 
 
 def test_many_pairs_at_once_as_one_by_one():
