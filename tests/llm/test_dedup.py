@@ -321,3 +321,53 @@ def test_many_pairs_at_once_as_one_by_one():
     ys += ["q" * 1601 + "r", "a" * 4001]
     want = [line_dedup.within(x, y, int(max(len(x), len(y)) * 0.2 + 1e-9)) for x, y in zip(xs, ys)]
     assert line_dedup.alike(xs, ys).tolist() == want and 500 < sum(want) < 2700
+
+
+def test_second_step_verifies_lines_once_each():
+    """A text that many pairs name is coded once; results are those of the pairs one by one."""
+    r = random.Random(29)
+    units = ["".join(r.choice("abcdefgh") for _ in range(r.choice([1, 6, 40, 200, 900, 4200]))) for _ in range(60)]
+    units += [edited(r, u, max(1, int(len(u) * r.choice([0.02, 0.19, 0.2, 0.21])))) for u in units] + ["", "é漢😀" * 20, "é漢😀" * 19 + "z"]
+    x, y = (v.ravel() for v in np.meshgrid(np.arange(len(units)), np.arange(len(units))))
+    near = np.array([abs(len(units[i]) - len(units[j])) <= 0.25 * max(len(units[i]), len(units[j])) + 1 for i, j in zip(x, y)])
+    x, y = x[near], y[near]
+    some = np.array([max(len(units[i]), len(units[j])) < 1000 or i % 60 == j % 60 for i, j in zip(x, y)])
+    x, y = x[some], y[some]
+    got = line_dedup.alike_of(units, x, y)
+    want = [line_dedup.within(units[i], units[j], int(max(len(units[i]), len(units[j])) * 0.2 + 1e-9)) for i, j in zip(x, y)]
+    assert got.tolist() == want and 100 < sum(want) < len(want) - 100
+
+
+def test_links_of_the_second_step_are_all_of_a_gram(spark):
+    """Against brute force: all similar lines that have a gram in common at places that allow it are in one group, with parts of two lines and blocks of two parts."""
+    r = random.Random(31)
+    passage, lines = "the passage that they all have in common", []
+    for _ in range(30):
+        rest = "".join(r.choice("abcdefghijklmnop") for _ in range(90))
+        lines += [passage + rest, passage + edited(r, rest, 14), passage + edited(r, rest, 24)]
+    x = line_dedup.Lines(lines, simhash=False)
+    line, gram, at = x.grams(np.arange(len(lines)), x.seen().astype(np.float32))
+    rows = sorted({(int(g), int(x.h[i]), int(x.n[i]) << 32 | int(p)) for i, g, p in zip(line, gram, at)})
+    df = spark.createDataFrame(rows, "gram long, h long, z long")
+    texts = spark.createDataFrame([(int(h), u) for h, u in zip(x.h, map(line_dedup._decoded, (x.normalised(i) for i in range(len(lines)))))], "h long, unit string")
+    own, by = {int(h): i for i, h in enumerate(x.h)}, {}
+    for g, h, z in rows:
+        by.setdefault(g, []).append((own[h], z >> 32, z & 0xFFFFFFFF))
+    want = set()
+    for held in by.values():
+        for i, n, p in held:
+            for j, m, q in held:
+                most = int(max(n, m) * 0.2 + 1e-9)
+                if i < j and abs(p - q) + abs(n - p - m + q) <= most and line_dedup.within(x.normalised(i).decode(), x.normalised(j).decode(), most):
+                    want.add((i, j))
+    scratch, block = Scratch(spark, "lines"), line_dedup.BLOCK
+    line_dedup.BLOCK = 2
+    try:
+        parts = scratch.write(line_dedup.shared(df, 2), "parts")
+        none = spark.createDataFrame([], "node long, component long")  # each line is its own component
+        got = line_dedup.other_links(parts, none, texts, scratch).collect()
+    finally:
+        line_dedup.BLOCK = block
+    full = {g for g, held in by.items() if len(held) > 2}
+    assert len(full) > 20 and {tuple(sorted((own[a], own[b]))) for a, b in got} | {p for p in want if not any(p[0] in (e[0] for e in by[g]) and p[1] in (e[0] for e in by[g]) for g in full)} == want
+    assert len(want) > 30
