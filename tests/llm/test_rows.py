@@ -7,11 +7,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_words import words
 from pyspark.sql import functions as F
 
 from flatsieve.llm import fingerprints, pii, sharding, vector_search
+from flatsieve.llm.common import STEP_BYTES, Scratch
 
 
 def test_shards(docs, edges, none):
@@ -271,3 +273,23 @@ def test_repeated_queries_and_candidates(spark):
     score = {i: sum(a * b for a, b in zip(rows[0][1], v)) for i, v in rows[1:]}
     want = sorted(score, key=lambda i: (-score[i], i))[:5]
     assert [(q, k, i) for q, k, i, _ in got] == [(0, k, i) for k, i in enumerate(want, 1)]
+
+
+def test_written_batches_are_bounded(spark):
+    name, rows = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("word "), 4000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["size", "n"])
+
+    scratch, before = Scratch(spark, "batches"), spark.conf.get(name)
+    got = scratch.write(rows.mapInArrow(sizes, "size long, n long"), "sizes").collect()
+    assert sum(r["n"] for r in got) == 2000 and max(r["size"] for r in got) < 2 * STEP_BYTES
+    assert spark.conf.get(name) == before and spark.conf.get(name, None) is None
+    spark.conf.set(name, "1m")  # a session's own bound stays
+    try:
+        got = scratch.write(rows.mapInArrow(sizes, "size long, n long"), "sizes").collect()
+        assert max(r["size"] for r in got) < 2_000_000 and spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.unset(name)
+    scratch.close()
