@@ -371,3 +371,29 @@ def test_links_of_the_second_step_are_all_of_a_gram(spark):
     full = {g for g, held in by.items() if len(held) > 2}
     assert len(full) > 20 and {tuple(sorted((own[a], own[b]))) for a, b in got} | {p for p in want if not any(p[0] in (e[0] for e in by[g]) and p[1] in (e[0] for e in by[g]) for g in full)} == want
     assert len(want) > 30
+
+
+def test_parts_and_pairs_of_grams(spark):
+    """Against brute force, with grams of one row to several parts over batches of any size, and rows that repeat; pairs come from the stream that reads the grams, so no join follows."""
+    r, rows = random.Random(8), []
+    for g, n in enumerate([1, 2, 3, 4, 5, 7, 8, 9, 12, 13, 40, 1, 1, 200, 4, 2]):
+        lines = [r.randrange(-(1 << 62), 1 << 62) for _ in range(n)]
+        held = [(g - 5, h, r.randrange(60, 90) << 32 | r.randrange(0, 30)) for h in lines]
+        rows += held + held[:2] + [(x, h, z + 1) for x, h, z in held[: n // 3]]
+    df = spark.createDataFrame(rows, "gram long, h long, z long").repartition(3)
+    by, want, several = {}, set(), set()
+    for row in sorted(set(rows)):
+        by.setdefault(row[0], []).append(row)
+    may = lambda x, y: abs((x & 0xFFFF) - (y & 0xFFFF)) + abs((x >> 32) - (x & 0xFFFF) - (y >> 32) + (y & 0xFFFF)) <= int(max(x >> 32, y >> 32) * 0.2 + 1e-9)
+    for held in by.values():
+        several |= {(*row, i // 4) for i, row in enumerate(held) if len(held) > 4}
+        want |= {(a[1], b[1]) for i, a in enumerate(held) for j, b in enumerate(held) if i < j and a[1] != b[1] and (i // 4 == j // 4 or i == 0) and may(a[2], b[2])}
+    for size in (1, 3, 17, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            met = line_dedup.shared(df, 4)
+            assert {tuple(x) for x in met.where("part >= 0").collect()} == several
+            pairs = line_dedup.first_pairs(met)
+            assert sorted(map(tuple, pairs.collect())) == sorted(want) and "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
