@@ -397,3 +397,48 @@ def test_parts_and_pairs_of_grams(spark):
             assert sorted(map(tuple, pairs.collect())) == sorted(want) and "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_lines_are_those_of_the_rule():
+    """Against plain Python: letters and other characters' bytes stay, ASCII digits are 0, all else parts words; equal lines alone have one hash, in whatever text."""
+    r = random.Random(41)
+    texts = ["".join(r.choice(" \t\r\x0b.,-  \nabZ09é漢🙂\u2028") for _ in range(r.choice([0, 1, 40, 300]))) for _ in range(200)]
+    want = []
+    for k, t in enumerate(texts):
+        for at, line in enumerate(t.lower().split("\n")):
+            unit = " ".join("".join("0" if c in "0123456789" else c if ord(c) > 127 or c.isalpha() else " " for c in line).split(" ")).split(" ")
+            if unit := " ".join(w for w in unit if w):
+                want.append((k, at, unit))
+    x = line_dedup.Lines(texts, simhash=False)
+    assert list(zip(x.text.tolist(), x.at.tolist(), [x.normalised(i).decode() for i in range(len(x.h))])) == want
+    assert x.n.tolist() == [len(u) for _, _, u in want] and len(set(x.h.tolist())) == len(set(x.check.tolist())) == len({u for _, _, u in want})
+    assert line_dedup.Lines([texts[3]], simhash=False).h.tolist() == x.h[x.text == 3].tolist()
+
+
+def test_grams_are_shuffled_in_buckets(spark, docs):
+    """The grams of many lines go to the shuffle as few rows, and come out of it as the parts and pairs of all of them."""
+    rows = [(k, "\n".join(words(50 * k + i, 30) for i in range(50))) for k in range(40)]
+    rows += [(100 + k, t) for k, t in rows[:20]] + [(200 + k, t.replace(" ", " x", 9)) for k, t in rows]
+    counts = line_dedup.Lines([t for _, t in rows], simhash=False).seen().astype(np.float32)
+    packed = line_dedup._gathered(docs(rows).coalesce(2), "text", counts)
+    held = packed.collect()
+    every = np.concatenate([np.frombuffer(x["rows"], np.int64).reshape(-1, 3) for x in held])
+    assert len(every) > 20_000 and packed.columns == ["bucket", "rows"] and len({(int(g), x["bucket"]) for x in held for g in np.frombuffer(x["rows"], np.int64)[::3]}) == len(set(every[:, 0].tolist()))
+    assert len(held) <= 3 * line_dedup._buckets(spark)
+    plain = spark.createDataFrame([tuple(map(int, x)) for x in every], "gram long, h long, z long")
+    want, got = (sorted(map(tuple, line_dedup.shared(x, 4).collect())) for x in (plain, packed))
+    assert want == got
+    assert len(got) > 300
+
+
+def test_grams_of_more_rows_than_memory_holds(spark, monkeypatch):
+    """Rows that go by way of files: ranges hold all of them once, in ascending order, and make the same parts and pairs."""
+    r = np.random.default_rng(43)
+    rows = np.stack([r.integers(0, 3, 5000), r.integers(-400, 400, 5000) * (1 << 52), r.integers(0, 9, 5000) | 60 << 32], 1)
+    distinct = sorted(map(list, {tuple(x) for x in rows.tolist()}))
+    ranges = [line_dedup._ordered(x, False).T for x in line_dedup._ranges(rows, 700)]
+    assert len(ranges) > 4 and np.concatenate(ranges).tolist() == distinct
+    df = spark.createDataFrame(rows.tolist(), "gram long, h long, z long").repartition(3)
+    want = sorted(map(tuple, line_dedup.shared(df, 4).collect()))
+    monkeypatch.setattr(line_dedup, "SORTED", 300)
+    assert sorted(map(tuple, line_dedup.shared(df, 4).collect())) == want and [list(x[:3]) for x in want if x[3] >= 0] == distinct
