@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -293,3 +294,21 @@ def test_written_batches_are_bounded(spark):
     finally:
         spark.conf.unset(name)
     scratch.close()
+
+
+def test_shuffles_of_written_tables_go(spark):
+    """Without waiting for the driver's garbage collection; other actions keep the session's setting."""
+
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).endswith(".data")}
+
+    scratch, before = Scratch(spark, "shuffles"), shuffles()
+    rows = scratch.write(spark.range(0, 1000, 1, 4).repartition(4, "id"), "rows")
+    for _ in range(50):
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.1)
+    assert not left and rows.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+    scratch.close()
