@@ -373,6 +373,42 @@ def test_links_of_the_second_step_are_all_of_a_gram(spark):
     assert len(want) > 30
 
 
+def test_rows_of_the_second_step_grow_with_the_root_of_the_blocks(spark, monkeypatch):
+    """A gram's blocks are dealt out in spans, as long as these hold few characters."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 2)
+    monkeypatch.setattr(line_dedup, "PAIRED", 2)
+    rows, seen = [(7, h, 200 << 32, h // 2) for h in range(400)], {}
+    parts = spark.createDataFrame(rows, "gram long, h long, z long, part long")
+    none, texts = spark.createDataFrame([], "node long, component long"), spark.createDataFrame([(h, f"{h:03d}" * 60) for h in range(400)], "h long, unit string")
+    for most in (10_000_000, 3 * 4 * 200):  # of 100 blocks 5 make a span, or 3
+        monkeypatch.setattr(line_dedup, "DEALT", most)
+        scratch = Scratch(spark, "lines")
+        monkeypatch.setattr(scratch, "write", lambda df, name, w=scratch.write: seen.setdefault((most, name), w(df, name)))  # noqa: B023
+        seen[most] = sorted(map(tuple, line_dedup.other_links(parts, none, texts, scratch).collect()))
+    assert [seen[most, "crowd"].selectExpr("sum(last + 1)").first()[0] for most in (10_000_000, 2400)] == [400 * 20, 400 * 34]
+    assert seen[10_000_000] == seen[2400] and all(line_dedup.within(f"{a:03d}" * 60, f"{b:03d}" * 60, 36) for a, b in seen[2400])
+
+
+def test_lines_that_no_pair_names_are_left_out_by_bits(spark):
+    r = np.random.default_rng(5)
+    h = r.integers(-(1 << 63), 1 << 63, 50_000)
+    named = spark.createDataFrame([(int(x),) for x in h[:10_000]], "h long")
+    for bits, most in ((18, 0.05), (6, 1.0)):
+        held = line_dedup._maybe(h, line_dedup._bit_table(named, bits), bits)
+        assert held[:10_000].all() and held[10_000:].mean() <= most
+
+
+def test_lines_beyond_what_is_broadcast(spark, docs, monkeypatch):
+    """The same lines go, by a join that doesn't sort texts, and only the numbers of lines stay in the scratch folder."""
+    want = sorted(map(tuple, line_dedup.dedup_lines(docs(one_passage())).collect()), key=repr)
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    got = line_dedup.dedup_lines(docs(one_passage()))
+    assert len(Scratch.opened[-1].written) == 1
+    assert sorted(map(tuple, got.collect()), key=repr) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_parts_and_pairs_of_grams(spark):
     """Against brute force, with grams of one row to several parts over batches of any size, and rows that repeat; pairs come from the stream that reads the grams, so no join follows."""
     r, rows = random.Random(8), []
