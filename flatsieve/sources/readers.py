@@ -117,10 +117,38 @@ def _within(spark: SparkSession, path: str, array: bool, limits: InputLimits) ->
         raise ScanError(found[0]["e"])
 
 
+def _by_lines(spark: SparkSession, path: str, header: list[str]) -> list[str | None] | None:
+    """The first object's values, if the file is an array with a line for each flat object: such a file is read by lines, in splits. None for any other.
+
+    In JSON no string holds a line end. Without its strings, such a line has braces at its ends only. The first line is [ alone, or has an
+    object, too, for which the values are; the last one ends with ]. One pass over the lines, of which kinds and places are told.
+    """
+    bare = F.regexp_replace(F.regexp_replace("value", r"\\.", ""), '"[^"]*+"', "")
+    end = F.when(bare.rlike(r"^\s*\{[^\"{}\[\]]*+\}\s*$"), "}").when(bare.rlike(r"^\s*\{[^\"{}\[\]]*+\}\s*,\s*$"), ",").when(bare.rlike(r"^\s*\{[^\"{}\[\]]*+\}\s*\]\s*$"), "}]").when(bare.rlike(r"^\s*\]\s*$"), "]").otherwise("")
+    first = r"^\[\s*(\{[^\"{}\[\]]*+\}\s*,)?\s*$"
+    kind = F.when(F.col("_seq") == 0, F.when(bare.rlike(first), "[").otherwise("")).otherwise(end)
+    lines = _lines(spark, path).select("_seq", kind.alias("kind"), F.when(F.col("_seq") == 0, F.col("value")).alias("value"))
+    found = {r["kind"]: r for r in lines.groupBy("kind").agg(F.count("*").alias("n"), F.max("_seq").alias("at"), F.max("value").alias("value")).collect()}
+    ends = sorted((r["at"], k, r["n"]) for k, r in found.items() if k not in ("[", ","))
+    if "[" not in found or [(k, n) for _, k, n in ends] not in ([("}]", 1)], [("}", 1), ("]", 1)]) or "," in found and found[","]["at"] > ends[0][0]:
+        return None
+    text = found["["]["value"].strip()[1:].strip().removesuffix(",")
+    try:
+        raw = lambda s: s
+        held = json.loads(text or "{}", parse_int=raw, parse_float=raw)
+        json.dumps(held, ensure_ascii=False).encode()
+    except ValueError:
+        return None
+    if any(isinstance(v, float) for v in held.values()):  # NaN
+        return None
+    return [v if v is None or isinstance(v, str) else str(v).lower() for v in map(held.get, header)]
+
+
 def from_json(path: str, spark: SparkSession | None = None, limits: InputLimits | None = None) -> Relation:
     """NDJSON, or an array of objects (sniffed). The first object's keys are the header; values keep their source text.
 
-    Values come from the file reader with a schema of strings, as other JSON functions rewrite numbers.
+    Values come from the file reader with a schema of strings, as other JSON functions rewrite numbers. It reads an array in one
+    task, with a read of the file for each number, so arrays with a line for each flat object are read by lines (``_by_lines``).
     A missing key and null are empty; keys that the first object lacks are ignored; a nested value or
     a malformed record is an error where it is used.
     """
@@ -134,13 +162,17 @@ def from_json(path: str, spark: SparkSession | None = None, limits: InputLimits
     while bad in header:
         bad += "_"
     schema = T.StructType([T.StructField(h, T.StringType()) for h in header] + [T.StructField(bad, T.StringType())])
-    read = spark.read.schema(schema).option("multiLine", array).option("columnNameOfCorruptRecord", bad).option("mode", "PERMISSIVE")
-    rows = guarded(lambda: read.json(path))
-    rows = rows.toDF(*(f"_c{i}" for i in range(len(header))), "_bad")
+    known = guarded(lambda: _by_lines(spark, path, header)) if array else None
+    read = spark.read.schema(schema).option("multiLine", array and known is None).option("columnNameOfCorruptRecord", bad).option("mode", "PERMISSIVE")
+    rows = guarded(lambda: (read if known is None else read.option("lineSep", "\n")).json(path))
+    rows = rows.toDF(*(f"_c{i}" for i in range(len(header))), "_bad").select(F.monotonically_increasing_id().alias("_seq"), "*")
+    if known is not None:  # the lines of the brackets are no objects for the reader
+        rows = rows.where(~(F.coalesce(F.trim(F.regexp_replace("_bad", r"\s", "")).isin("[", "]"), F.lit(False)) & F.col("_c0").isNull()))
+        rows = rows.select("_seq", *(F.when(F.col("_seq") == 0, F.lit(v).cast("string")).otherwise(F.col(f"_c{i}")).alias(f"_c{i}") for i, v in enumerate(known)), F.when(F.col("_seq") != 0, F.col("_bad")).alias("_bad"))
     # the fields carry the guards, so that pruning a column can't drop them
     value = lambda i: F.when(F.col(f"_c{i}").rlike(r"^\s*[\[{]"), F.when(F.try_parse_json(F.col(f"_c{i}")).isNotNull(), F.raise_error(F.lit("NestedValueNotSupported")).cast("string")).otherwise(F.col(f"_c{i}"))).otherwise(F.coalesce(F.col(f"_c{i}"), F.lit("")))
     fields = F.when(F.col("_bad").isNull(), F.array(*map(value, range(len(header))))).otherwise(F.raise_error(F.lit("InvalidJson")).cast("array<string>"))
-    return Relation(rows.select(F.monotonically_increasing_id().alias("_seq"), fields.alias("_f")), header, text=True)
+    return Relation(rows.select("_seq", fields.alias("_f")), header, text=True)
 
 
 def from_bytes(data: bytes, format: str = "csv", spark: SparkSession | None = None) -> Relation:

@@ -154,6 +154,33 @@ def test_json_records(tmp_path):
         rows('{"a": 1}\n{"a": \n')
 
 
+def test_arrays_by_lines(spark, tmp_path):
+    """An array with a line for each flat object is read in splits, as one on a single line reads; no other array is."""
+    objects = ['{"a": 1.50, "b": "x},{ \\\\"}', '{"b": "[\\"", "a": 1e3, "c": 2}', '{"a": null, "b": true}', '{ "a":"]" }', '{"a": 12345678901234567890123.10, "b": "é😀\\u00e9"}'] * 400
+
+    def rows(text, name):
+        (tmp_path / name).write_text(text)
+        return list(fs.scan(tmp_path / name)), fs.count(tmp_path / name), fs.count(tmp_path / name, where="a > 1")
+
+    def splits(name):
+        return open_path(tmp_path / name).df.rdd.getNumPartitions()
+
+    want, old = rows("[" + ",".join(objects) + "]", "one.json"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    assert want[1] == 2000 and want[0][0] == {"a": "1.50", "b": 'x},{ \\'}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        for k, (head, between, tail) in enumerate([("[", ",\n", "]\n"), ("[\n", ",\n  ", "\n]"), ("[ ", " ,\r\n", "\r\n]\r\n")]):
+            assert rows(head + between.join(objects) + tail, f"{k}.json") == want and splits(f"{k}.json") > 2
+        assert rows("[" + ",\n".join(f"{x},{x}" for x in objects[::2]) + "]", "two.json")[1] == 2000 and splits("two.json") == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for broken in ('[{"a": 1}\n{"a": 2}]', '[{"a": 1},\n{"a": tru},\n{"a": 3}]', '[{"a": 1},\n{"a": 2},\n'):
+        with pytest.raises(ScanError, match="InvalidJson"):
+            rows(broken, "broken.json")
+    with pytest.raises(ScanError, match="NestedValue"):
+        rows('[{"a": 1},\n{"a": {"x": 1}}]', "nested.json")
+
+
 def test_large_file_order(tmp_path, spark):
     """Many splits of one file keep its order, and long quoted fields don't overflow the tokenizer."""
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
